@@ -121,21 +121,24 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles of an UTF-8 text.
+def normal(text: bytes) -> bytes:
+    """The words of an UTF-8 text (runs without ASCII white space), A-Z lower-cased, by spaces."""
+    return b" ".join(text.lower().split())
 
-    Words are runs without ASCII white space, A-Z lower-cased. A text with fewer words gives its
-    whole sequence as one shingle; one without words gives none.
+
+def shingles(words: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles of :func:`normal` words.
+
+    Fewer words give their whole sequence as one shingle; none give none.
     """
-    words = text.lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    data = np.frombuffer(words, dtype=np.uint8)
     gaps = np.flatnonzero(data == 32)
     starts = np.concatenate(([0], gaps + 1))
     ends = np.concatenate((gaps, [len(data)]))
-    if len(words) > width:
-        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    if len(starts) > width:
+        starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     return np.unique(range_hashes(data, starts, ends))

@@ -17,8 +17,9 @@ subsets that differ by one token (one-deletion neighbourhoods of both sides).
 * Candidates are verified exactly, by the whole sets.
 
 Links are wanted as classes, so a bucket need not give all its pairs: its members are joined to the
-bucket's smallest one, and only members that verification left in other classes are joined to the
-next, until every pair of a probe and an index entry is verified or in one class. Equal word
+bucket's anchor first. Where verification leaves several classes in a bucket, the allocation is made
+by what the keys now cost, and every pair of a probe and an index entry of different classes is
+verified: pair by pair in small buckets, in blocks of documents where many meet. Equal word
 sequences are one node from the start.
 
 Defined cases: a null or blank text has no set, is linked with nothing and is its own class; short
@@ -34,16 +35,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, mix, range_hashes, shingles, tune, utf8, written
+from .common import BROADCAST_BYTES, mix, normal, shingles, tune, utf8, written
 
 #: Share of segments beyond the pigeonhole's need: what empty and costly subsets may take.
 SLACK = 0.10
-#: Star rounds before the rest of a bucket is paired.
-ROUNDS = 3
+#: Buckets with more members than this are verified in blocks of families, not pair by pair.
+HOT = 64
+#: Documents and shingles of a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 #: Ids of rows without a doc_id lie above this.
 NO_ID = (1 << 63) - (1 << 33)
 
@@ -154,24 +158,20 @@ def set_keys(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray
         yield role, np.concatenate(keys), np.concatenate(kinds), max(0, len(full) - need) if need <= len(full) else 0
 
 
-def _class_of(text: bytes) -> tuple[int, int]:
+def _class_of(words: bytes) -> tuple[int, int]:
     """Two 64-bit hashes of the word sequence; texts with equal sequences are one node."""
-    data = np.frombuffer(b" ".join(text.lower().split()), dtype=np.uint8)
-    node = range_hashes(data, np.array([0]), np.array([len(data)]))
-    place = mix(np.arange(1, len(data) + 1, dtype=np.uint64))
-    check = mix(np.sum(place * (data.astype(np.uint64) + np.uint64(7)), dtype=np.uint64, keepdims=True))
-    return int(node.view(np.int64)[0]), int(check.view(np.int64)[0])
+    digest = xxhash.xxh3_128_digest(words)
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, checks, sizes = [], [], []
-        for text in utf8(batch.column("__text")):
-            n = len(shingles(text))
-            node, check = _class_of(text) if n else (None, None)
+        for words in map(normal, utf8(batch.column("__text"))):
+            node, check = _class_of(words) if words else (None, None)
             nodes.append(node)
             checks.append(check)
-            sizes.append(n)
+            sizes.append(len(shingles(words)))
         yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64())], ["id", "node", "check", "n"])
 
 
@@ -181,17 +181,13 @@ def _keyed(percent: int):
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             rows = 0
-            for text in utf8(batch.column("__text")):
-                tokens = shingles(text)
-                if not len(tokens):
-                    continue
-                node = _class_of(text)[0]
-                if node in seen:
+            for words in map(normal, utf8(batch.column("__text"))):
+                if not words or (node := _class_of(words)[0]) in seen:
                     continue
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(node)
-                for role, keys, kinds, spare in set_keys(tokens, percent):
+                for role, keys, kinds, spare in set_keys(shingles(words), percent):
                     tag = (kinds.astype(np.int32) | np.int32(role << 2)) | np.int32(spare << 4)
                     out.append((keys, np.full(len(keys), node, dtype=np.int64), tag))
                     rows += len(keys)
@@ -218,8 +214,8 @@ def _verified(percent: int):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for i, (x, y) in enumerate(zip(utf8(batch.column("text_a")), utf8(batch.column("text_b")), strict=True)):
                 if kept[0] != a[i]:
-                    kept = a[i], shingles(x)
-                s, t = kept[1], shingles(y)
+                    kept = a[i], shingles(normal(x))
+                s, t = kept[1], shingles(normal(y))
                 same = len(np.intersect1d(s, t, assume_unique=True))
                 links.append(100 * same >= percent * (len(s) + len(t) - same))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.bool_())], ["a", "b", "linked"])
@@ -255,7 +251,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes = [_class_of(text)[0] for text in utf8(batch.column("__text"))]
+        nodes = [_class_of(normal(text))[0] for text in utf8(batch.column("__text"))]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *batch.columns], ["node", "id", "text"])
 
 
@@ -272,22 +268,105 @@ def _judge(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(with_both.mapInArrow(_verified(percent), "a long, b long, linked boolean"), "judged")
 
 
-def _star(rows: DataFrame, turn: int) -> DataFrame:
+def _fit(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``p`` and ``x`` whose sizes allow a link and of which ``p`` is the larger one."""
+    larger = (F.col("x.n") < F.col("p.n")) | ((F.col("x.n") == F.col("p.n")) & (F.col("x.node") < F.col("p.node")))
+    return pairs.where(larger & (100 * F.col("x.n") >= percent * F.col("p.n"))).select(F.col("p.node").alias("a"), F.col("x.node").alias("b"))
+
+
+def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each bucket's members with one index entry, another one each turn."""
-    pick = F.min_by(F.struct("node", "probe"), F.xxhash64("node", F.lit(turn))).alias("x")
-    starred = rows.join(rows.where("entry").groupBy("key").agg(pick), "key")
-    return starred.where("node <> x.node and (probe or (entry and x.probe))").select(F.col("x.node").alias("a"), F.col("node").alias("b"))
+    pick = F.min_by(F.struct("node", "n", "probe"), F.xxhash64("node", F.lit(turn))).alias("y")
+    starred = rows.join(rows.where("entry").groupBy("key").agg(pick), "key").select(F.struct("node", "n", "probe", "entry").alias("z"), "y")
+    # The larger of the two must be a probe, the other an entry; the anchor may be either.
+    as_probe = _fit(starred.where("z.probe").select(F.col("z").alias("p"), F.col("y").alias("x")), percent)
+    as_entry = _fit(starred.where("z.entry and y.probe").select(F.col("y").alias("p"), F.col("z").alias("x")), percent)
+    return as_probe.unionByName(as_entry)
 
 
-def _all(rows: DataFrame) -> DataFrame:
+def _rest(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of a probe and an index entry of different classes: what stars have left over."""
-    probes = rows.where("probe").select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    entries = rows.where("entry").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    return probes.join(entries, "key").where("ca <> cb").select("a", "b")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
+    marked = rows.join(sizes.groupBy("key").agg(F.max_by("comp", "members").alias("main")), "key").withColumn("minor", F.col("comp") != F.col("main"))
+    probes = marked.where("probe").select("key", "minor", F.struct("node", "n", "comp").alias("p"))
+    entries = marked.where("entry").select("key", "minor", F.struct("node", "n", "comp").alias("x"))
+    # Pairs within a bucket's largest class are not even met: one side is always of another class.
+    first = probes.drop("minor").join(entries.where("minor").drop("minor"), "key")
+    second = probes.where("minor").drop("minor").join(entries.where("not minor").drop("minor"), "key")
+    return _fit(first.unionByName(second).where("p.comp <> x.comp"), percent)
+
+
+def _block_links(percent: int):
+    """Links between documents of different classes within a block pair: a spanning forest of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {}
+        for node, comp, text in zip(table.column("node").to_pylist(), table.column("comp").to_pylist(), table.column("text").to_pylist(), strict=True):
+            rows.setdefault(node, (comp, text))
+        nodes = sorted(rows)
+        sets = [shingles(normal(rows[x][1].encode())) for x in nodes]
+        sizes = np.array([len(t) for t in sets])
+        tokens, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        # A token of one document is in no intersection; the others become columns, some at a time.
+        column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[place]
+        owner, column = owner[column >= 0], column[column >= 0]
+        same = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            here = (column >= start) & (column < start + 4096)
+            part = np.zeros((len(nodes), 4096), dtype=np.float32)
+            part[owner[here], column[here] - start] = 1
+            same += part @ part.T
+        comp = np.unique([rows[x][0] for x in nodes], return_inverse=True)[1]
+        same = same.astype(np.int64)
+        linked = (100 * same >= percent * (sizes[:, None] + sizes[None, :] - same)) & (comp[:, None] < comp[None, :])
+        parent, links = list(range(len(nodes))), []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in np.argwhere(linked).tolist():
+            rx, ry = root(comp[x]), root(comp[y])
+            if rx != ry:
+                parent[rx] = ry
+                links.append((nodes[x], nodes[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def _family_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between classes that meet in hot buckets.
+
+    The documents of such buckets form families (components of common buckets); a family is cut
+    into blocks of bounded size, each two of which are verified by one task in memory. Large
+    classes have blocks of their own, and pairs within one class are left out. Nothing is emitted
+    per pair: a task gets two blocks of texts and gives a spanning forest.
+    """
+    anchors = rows.groupBy("key").agg(F.min("node").alias("b"))
+    families = components(rows.select("key", F.col("node").alias("a")).join(anchors, "key").select("a", "b"))
+    members = rows.select("node", "n", "comp").distinct().join(families.withColumnRenamed("root", "family"), "node")
+    classes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+    members = members.join(classes, ["family", "comp"]).withColumn("pool", F.when(F.col("c") >= BLOCK_DOCS, F.col("comp")))
+    pools = members.groupBy("family", "pool").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    pools = pools.withColumn("name", F.xxhash64("family", "pool", F.col("pool").isNull()))
+    members = members.withColumn("name", F.xxhash64("family", "pool", F.col("pool").isNull())).join(pools.select("name", "blocks"), "name")
+    members = written(members.withColumn("block", F.struct("name", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"))).select("node", "comp", "family", "pool", "block"), "members")
+    blocks = members.select("family", "pool", "block").distinct()
+    x = blocks.select("family", F.col("pool").alias("px"), F.col("block").alias("x"))
+    y = blocks.select("family", F.col("pool").alias("py"), F.col("block").alias("y"))
+    pairs = x.join(y, "family").where("x <= y and not (px is not null and py is not null and px = py)").select("x", "y")
+    pairs = written(pairs, "blocks")
+    sides = pairs.select("x", "y", F.col("x").alias("block")).unionByName(pairs.where("x <> y").select("x", "y", F.col("y").alias("block")))
+    held = sides.join(members.select("block", "node", "comp"), "block").join(texts, "node").select("x", "y", "node", "comp", "text")
+    return written(held.groupBy("x", "y").applyInArrow(_block_links(percent), "a long, b long"), "family-links")
 
 
 def _buckets(source: DataFrame, percent: int) -> DataFrame:
-    """``key, node, probe, entry``: buckets of two classes or more, after the cost-based allocation."""
+    """``key, node, role, kind, spare`` of the buckets that hold two classes and a probe."""
     keys = source.mapInArrow(_keyed(percent), "key long, node long, tag int")
     w = Window.partitionBy("key")
     kind, role, spare = F.col("tag").bitwiseAND(3), F.shiftright("tag", 2).bitwiseAND(3), F.shiftright("tag", 4)
@@ -297,13 +376,21 @@ def _buckets(source: DataFrame, percent: int) -> DataFrame:
         .select("key", "node", kind.cast("byte").alias("kind"), role.cast("byte").alias("role"), spare.alias("spare"))
     )
     # The same class may come from several tasks.
-    shared = written(shared.groupBy("key", "node", "role").agg(F.max("kind").alias("kind"), F.max("spare").alias("spare")), "shared")
-    costs = shared.groupBy("key").agg(F.count(F.lit(1)).alias("cost"))
+    return written(shared.groupBy("key", "node", "role").agg(F.max("kind").alias("kind"), F.max("spare").alias("spare")), "buckets")
+
+
+def _allotted(rows: DataFrame) -> DataFrame:
+    """Cost-based allocation: each probe drops as many keys as it has units to spare, costly ones first.
+
+    A key's cost is its number of index entries of other classes. Keys of no cost are not among
+    ``rows``; so what is dropped here was never needed.
+    """
+    entries = rows.where("entry").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
+    total = entries.groupBy("key").agg(F.sum("own").alias("all"))
     costly = Window.partitionBy("node", "role").orderBy(F.desc("cost"), "key")
-    allotted = shared.where("kind = 1").join(costs, "key").withColumn("rank", F.row_number().over(costly)).select("key", "node", "role", (F.col("rank") > F.col("spare")).alias("probe"))
-    rows = allotted.unionByName(shared.where("kind <> 1").select("key", "node", "role", (F.col("kind") == 2).alias("probe")))
-    rows = rows.withColumn("entry", F.col("role") == _OWN).where("probe or entry")
-    return written(rows.groupBy("key", "node").agg(F.max("probe").alias("probe"), F.max("entry").alias("entry")), "buckets")
+    priced = rows.where("kind = 1").join(total, "key").join(entries, ["key", "comp"], "left").withColumn("cost", F.col("all") - F.coalesce("own", F.lit(0)))
+    ranked = priced.withColumn("probe", F.row_number().over(costly) > F.col("spare")).select("key", "node", "n", "comp", "role", "entry", "probe")
+    return ranked.unionByName(rows.where("kind <> 1").select(*ranked.columns)).where("probe or entry")
 
 
 def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,31 +405,29 @@ def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     described = written(source.mapInArrow(_describe, "id long, node long, check long, n long"), "sets")
     clash = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two word sequences share a 64-bit hash")).cast("long"))
     orphan = F.lit(NO_ID) + F.pmod(F.col("node"), F.lit(1 << 32))
-    classes = described.where("node is not null").groupBy("node").agg(F.coalesce(clash, F.min("id")).alias("rep")).withColumn("first_id", F.coalesce("rep", orphan))
+    classes = described.where("node is not null").groupBy("node").agg(F.coalesce(clash, F.min("id")).alias("rep"), F.min("n").alias("n")).withColumn("first_id", F.coalesce("rep", orphan))
 
-    rows = _buckets(source, percent)
-    wanted = _small(rows.select("node").distinct().join(classes.select("node", "rep"), "node"))
-    texts = source.mapInArrow(_noded, "node long, id long, text string").join(wanted, "node").where("id <=> rep")
+    buckets = _buckets(source, percent)
+    members = _small(buckets.select("node").distinct().join(classes.select("node", "rep", F.col("n").cast("int").alias("n")), "node"))
+    texts = source.mapInArrow(_noded, "node long, id long, text string").join(members.drop("n"), "node").where("id <=> rep")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    rows = buckets.join(members.select("node", "n"), "node").withColumns({"probe": F.col("kind") > 0, "entry": F.col("role") == _OWN})
 
-    checked = _judge(_star(rows, 0).distinct(), texts, percent)
+    checked = _judge(_star(rows, 0, percent).distinct(), texts, percent)
     roots = components(checked.where("linked"))
-    for turn in range(1, ROUNDS + 1):
-        # What is left: buckets whose members are in more than one class.
-        named = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        sums = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("probe").cast("long")).alias("np"), F.sum(F.col("entry").cast("long")).alias("nx")]
-        mixed = written(named.groupBy("key").agg(*sums).where("lo <> hi").select("key", "np", "nx"), "mixed")
-        pairs, members = mixed.agg(F.sum(F.col("np") * F.col("nx")), F.sum(F.col("np") + F.col("nx"))).first()
-        if not pairs:
-            break
-        left = named.join(mixed.select("key"), "key")
-        last = pairs <= 4 * members or turn == ROUNDS
-        more = (_all if last else lambda r, t=turn: _star(r, t))(left).distinct()
-        known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        checked = checked.unionByName(_judge(more.join(known, ["a", "b"], "left_anti"), texts, percent))
-        roots = components(checked.where("linked"))
-        if last:
-            break
+    # What is left: buckets whose members are in more than one class.
+    named = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = _allotted(named.join(mixed, "key"))
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("probed")).where("lo <> hi and probed").select("key", "members")
+    left = written(left.join(sizes, "key"), "left")
+    cold, hot = left.where(f"members <= {HOT}"), left.where(f"members > {HOT}")
+    links = checked.where("linked").select("a", "b")
+    more = _rest(cold, percent).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(_judge(more, texts, percent).where("linked").select("a", "b"))
+    if hot.limit(1).count():
+        links = links.unionByName(_family_links(hot, texts, percent))
+    roots = components(links)
 
     firsts = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = firsts.groupBy("root").agg(F.min("first_id").alias("first_id"))
