@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import FAMILIES, MIN_COVERAGE_SENTENCES, MIN_COVERAGE_SPREAD, MIN_WORDS, SIGNALS
 from ..functions import language, text as T
 from ..operators import language_model as lm
+from ..operators.components import spread
 from ..operators.signals import artifact_columns, text_signals
 from ..registry import contextual, registered
 
@@ -38,6 +39,7 @@ def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: Da
     ``docs``: doc_id (integers), text, and any columns to keep. Families that are not asked for are
     not computed: without surprisal no model is fitted.
     """
+    docs = spread(docs)
     seen = views(docs, guard).persist()
     able = seen.where("analysable").select("doc_id", "text")
     out, notes, dropped = seen, [], ()

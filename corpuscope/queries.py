@@ -1,6 +1,302 @@
-"""Registered queries of the audit engine, and their SQL."""
+"""Registered queries of the audit engine, and the same rows in DuckDB SQL."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import constants as C
+from .functions import language, text as T
+from .operators import calibrate as cal, dedup, fusion, language_model as lm, signals, stats
+from .operators.components import spread
+from .plans.profile import views
+from .plans.score import self_scored
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _rounded(df: DataFrame, names, places: int = 5) -> DataFrame:
+    return df.select("doc_id", *[F.round(n, places).alias(n) for n in names])
+
+
+# --- SQL parts ---------------------------------------------------------------------------------
+
+_L = r"[\p{L}\p{Nl}\p{No}]"
+_WORD = rf"{_L}+(?:[''’]{_L}+)*"
+_TOKEN = _WORD + r"|\p{Nd}+(?:[.,:/]\p{Nd}+)*|[^\p{L}\p{N}_\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{2028}\x{2029}]"
+_WORDS = f"list_transform(regexp_extract_all(text, '{_WORD}'), lambda x: lower(x))"
+_W = f"WITH w AS (SELECT doc_id, text, {_WORDS} AS ws, regexp_extract_all(text, '{_TOKEN}') AS tk FROM documents)"
+_COUNTS = _W + ", c AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS x FROM w) GROUP BY 1, 2), t AS (SELECT doc_id, sum(n) AS n, count(*) AS v FROM c GROUP BY 1)"
+
+
+def _in(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
+
+
+@query(_W + """ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(tk) AS BIGINT) AS n_tokens, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_distinct(ws)) AS BIGINT) AS n_types, len(ws) >= 50 AS long_enough FROM w""")
+def text_view(spark, sf_dir):
+    v = T.view(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", *[v[c].cast("long").alias(c) for c in ("n_chars", "n_tokens", "n_words", "n_types")], v["long_enough"].alias("long_enough"))
+
+
+_SENT_SQL = r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])["''”’)\]]*\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ps FROM documents),
+f AS (SELECT doc_id, ps, list_transform(ps, lambda x: ends_with(regexp_replace(x, '["''”’)\]]+$', ''), '.') AND
+  regexp_matches(regexp_replace(lower(regexp_extract(regexp_replace(x, '["''”’)\]]+$', ''), '(\S+)\.$', 1)), '^[(\["'']+|[(\["'']+$', '', 'g'), '^(\p{L}|ABBR)$')) AS open FROM p)
+SELECT doc_id, CAST(len(list_filter(open[1:len(open) - 1], lambda x: NOT x)) + (len(ps) > 0)::INT AS BIGINT) AS n_sentences FROM f
+""".replace("ABBR", "|".join(a.replace(".", r"\.") for a in C.ABBREVIATIONS))
+
+
+@query(_SENT_SQL)
+def sentence_counts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]'), lambda x: trim(x, ' ' || chr(9)) <> '')) AS BIGINT) AS n_lines,
+CAST(len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS n_paragraphs FROM documents""")
+def line_counts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.lines(F.col("text"))).cast("long").alias("n_lines"), F.size(T.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE substr(t, 1, 117) || '...' END AS preview FROM f""")
+def previews(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query(_W + " SELECT x AS gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS x FROM w) GROUP BY 1 HAVING count(*) >= 20")
+def frequent_bigrams(spark, sf_dir):
+    # The words are a column of their own: inside the lambda they would be found anew for every gram.
+    rows = spread(_docs(spark, sf_dir)).select(T.words(F.col("text")).alias("w"))
+    grams = F.transform(T.ngrams(F.col("w"), 2), lambda g: F.array_join(g, " "))
+    return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+
+
+_LISTS = C.foreign()
+_BEST = "CASE " + " ".join(f"WHEN h[{i + 1}] = list_max(h) THEN '{k}'" for i, k in enumerate(_LISTS)) + " END"
+_GUARD = _W + f""", s AS (SELECT doc_id, len(ws) AS n, len(regexp_replace(array_to_string(ws, ''), '[^\\p{{Latin}}ªº]', '', 'g')) / greatest(len(array_to_string(ws, '')), 1) AS latin,
+len(list_filter(ws, lambda x: x IN {_in(C.english())})) / greatest(len(ws), 1) AS en, len(list_filter(ws, lambda x: x IN {_in(set().union(*_LISTS.values()))})) / greatest(len(ws), 1) AS fo,
+[{", ".join(f"len(list_filter(ws, lambda x: x IN {_in(v)}))" for v in _LISTS.values())}] AS h FROM w)
+SELECT doc_id, round(CASE WHEN n = 0 THEN 1 ELSE latin END, 5) AS latin_share, round(en, 5) AS english_share, round(fo, 5) AS foreign_share, {_BEST} AS best_language,
+CASE WHEN n = 0 THEN NULL WHEN latin < 0.8 THEN 'script' WHEN fo >= 0.03 AND fo > 1.5 * en THEN 'foreign' END AS reason FROM s"""
+
+
+@query(_GUARD)
+def language_guard(spark, sf_dir):
+    w = F.col("w")
+    rows = _docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.round(language.latin_share(w), 5).alias("latin_share"), F.round(language.english_share(w), 5).alias("english_share"), F.round(language.foreign_share(w), 5).alias("foreign_share"), language.best_language(w).alias("best_language"), language.reason_code(w).alias("reason"))
+
+
+@query(_COUNTS + """, m AS (SELECT doc_id, any_value(t.n) AS n, any_value(t.v) AS v, -sum(c.n / t.n * log2(c.n / t.n)) AS h, sum(c.n * c.n) AS s2, count(*) FILTER (WHERE c.n = 1) AS v1 FROM c JOIN t USING (doc_id) GROUP BY 1)
+SELECT doc_id, round(h, 5) AS unigram_entropy, round(CASE WHEN v > 1 THEN h / log2(v) ELSE 0 END, 5) AS normalized_entropy, round(v1 / v, 5) AS hapax_ratio, round(1e4 * (s2 - n) / (n * n), 5) AS yules_k FROM m WHERE n >= 3""")
+def word_distribution(spark, sf_dir):
+    names = ("unigram_entropy", "normalized_entropy", "hapax_ratio", "yules_k")
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)).where("unigram_entropy is not null"), names)
+
+
+@query(_W + """, b AS (SELECT doc_id, unnest(ws[1:len(ws) - 1]) AS a, unnest(ws[2:]) AS x FROM w WHERE len(ws) >= 3),
+p AS (SELECT doc_id, a, x, count(*) AS n FROM b GROUP BY 1, 2, 3), k AS (SELECT doc_id, a, sum(n) AS m FROM p GROUP BY 1, 2 HAVING sum(n) > 1),
+z AS (SELECT doc_id, sum(m) AS total FROM k GROUP BY 1 HAVING count(*) >= 5)
+SELECT p.doc_id, round(-sum(p.n / z.total * log2(p.n / k.m)), 5) + 0 AS conditional_bigram_entropy FROM p JOIN k USING (doc_id, a) JOIN z USING (doc_id) GROUP BY 1""")
+def branching(spark, sf_dir):
+    rows = signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)).where("conditional_bigram_entropy is not null")
+    return rows.select("doc_id", (F.round("conditional_bigram_entropy", 5) + 0).alias("conditional_bigram_entropy"))
+
+
+@query(_COUNTS + """, r AS (SELECT doc_id, ln(n) AS y, ln(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC)) AS x, n FROM c)
+SELECT doc_id, round(regr_slope(y, x), 5) AS zipf_slope FROM r GROUP BY 1 HAVING count(*) >= 40 AND count(DISTINCT n) > 1 AND regr_r2(y, x) >= 0.5""")
+def zipf(spark, sf_dir):
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)).where("zipf_slope is not null"), ["zipf_slope"])
+
+
+@query(_COUNTS + """, s AS (SELECT doc_id, n AS i, count(*) AS v FROM c WHERE n <= 10 GROUP BY 1, 2)
+SELECT doc_id, round(regr_slope(ln(s.v), ln(i)), 5) AS spectrum_slope FROM s JOIN t USING (doc_id) WHERE t.n >= 2000 GROUP BY 1 HAVING count(*) >= 4 AND regr_r2(ln(s.v), ln(i)) >= 0.5""")
+def spectrum(spark, sf_dir):
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)).where("spectrum_slope is not null"), ["spectrum_slope"])
+
+
+@query(_W + """ SELECT doc_id, round(1 - len(list_distinct(list_transform(range(1, len(tk) - 2), lambda i: array_to_string(tk[i:i + 3], chr(1))))) / (len(tk) - 3), 5) AS repetition_4gram,
+CASE WHEN len(tk) >= 80 THEN round(1 - len(list_distinct(list_transform(range(1, len(tk) - 6), lambda i: array_to_string(tk[i:i + 7], chr(1))))) / (len(tk) - 7), 5) END AS repetition_8gram FROM w WHERE len(tk) >= 40""")
+def repetition(spark, sf_dir):
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)).where("repetition_4gram is not null"), ["repetition_4gram", "repetition_8gram"])
+
+
+@query()
+def diversity_and_growth(spark, sf_dir):
+    """Sequential or compressed measures, held to brute force in the tests."""
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("distributional",)), ["mtld", "heaps_beta", "compression_ratio"])
+
+
+@query()
+def reasoning_steps(spark, sf_dir):
+    return _rounded(signals.text_signals(spread(_docs(spark, sf_dir)), ("reasoning",)), signals.REASONING)
+
+
+def _re2(p: str) -> str:
+    return "(?im)" + p.replace("'", "''")
+
+
+def _hits(patterns) -> str:
+    return " + ".join(f"len(regexp_extract_all(text, '{_re2(p)}'))" for p in patterns)
+
+
+@query(_W + f""" SELECT doc_id, round(({_hits(C.ASSISTANT_ECHO)}) * 1000.0 / len(ws), 5) AS assistant_echo_rate, round(({_hits(C.HEDGING)}) * 1000.0 / len(ws), 5) AS hedging_rate,
+round(len(list_filter(ws, lambda x: x IN {_in(C.LEXICON)})) * 1000.0 / len(ws), 5) AS llm_lexicon_rate FROM w WHERE len(ws) > 0""")
+def artifact_rates(spark, sf_dir):
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))).where("assistant_echo_rate is not null"), ["assistant_echo_rate", "hedging_rate", "llm_lexicon_rate"])
+
+
+@query()
+def artifact_habits(spark, sf_dir):
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["human_noise_rate", "transition_rate", "bold_lead_rate"])
+
+
+_LM = _W + """, s AS (SELECT doc_id, ['<s>', '<s>'] || ws AS q FROM w WHERE len(ws) > 0),
+g AS (SELECT doc_id, unnest(list_transform(range(3, len(q) + 1), lambda i: {'a': q[i - 2], 'b': q[i - 1], 'c': q[i]})) AS g FROM s),
+d AS (SELECT doc_id, g.a AS a, g.b AS b, g.c AS c, count(*) AS m FROM g GROUP BY 1, 2, 3, 4),
+o3 AS (SELECT doc_id, a, b, c, m AS o FROM d), o2 AS (SELECT doc_id, b, c, sum(m) AS o FROM d GROUP BY 1, 2, 3), o1 AS (SELECT doc_id, c, sum(m) AS o FROM d GROUP BY 1, 2),
+t3 AS (SELECT a, b, c, sum(o) AS t FROM o3 GROUP BY 1, 2, 3), t2 AS (SELECT b, c, sum(o) AS t FROM o2 GROUP BY 1, 2), t1 AS (SELECT c, sum(o) AS t FROM o1 GROUP BY 1),
+h3 AS (SELECT a, b, sum(t) AS x, count(*) AS y FROM t3 GROUP BY 1, 2), h2 AS (SELECT b, sum(t) AS x, count(*) AS y FROM t2 GROUP BY 1),
+e3 AS (SELECT doc_id, a, b, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM o3 JOIN t3 USING (a, b, c) GROUP BY 1, 2, 3),
+e2 AS (SELECT doc_id, b, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM o2 JOIN t2 USING (b, c) GROUP BY 1, 2),
+e1 AS (SELECT doc_id, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM o1 JOIN t1 USING (c) GROUP BY 1),
+k AS (SELECT sum(t) AS n, count(*) AS v FROM t1),
+p AS (SELECT d.doc_id, d.m, (t1.t - o1.o + 1) / (k.n - e1.x + k.v - e1.y + 1) AS p1, t2.t - o2.o AS c2, h2.x - e2.x AS x2, h2.y - e2.y AS y2, t3.t - o3.o AS c3, h3.x - e3.x AS x3, h3.y - e3.y AS y3
+  FROM d JOIN o3 USING (doc_id, a, b, c) JOIN o2 USING (doc_id, b, c) JOIN o1 USING (doc_id, c) JOIN t3 USING (a, b, c) JOIN t2 USING (b, c) JOIN t1 USING (c)
+  JOIN h3 USING (a, b) JOIN h2 USING (b) JOIN e3 USING (doc_id, a, b) JOIN e2 USING (doc_id, b) JOIN e1 USING (doc_id), k),
+q AS (SELECT *, CASE WHEN x2 > 0 THEN greatest(c2 - 0.75, 0) / x2 + 0.75 * y2 / x2 * p1 ELSE p1 END AS p2 FROM p),
+r AS (SELECT *, CASE WHEN x3 > 0 THEN greatest(c3 - 0.75, 0) / x3 + 0.75 * y3 / x3 * p2 ELSE p2 END AS p3 FROM q)"""
+
+
+@query(_LM + " SELECT doc_id, round(sum(-log2(p3) * m) / sum(m), 5) AS mean_surprisal FROM r GROUP BY 1")
+def surprisal(spark, sf_dir):
+    docs = spread(_docs(spark, sf_dir))
+    return _rounded(lm.surprisal_signals(docs, lm.fit(docs)).where("mean_surprisal is not null"), ["mean_surprisal"])
+
+
+@query()
+def surprisal_runs(spark, sf_dir):
+    docs = spread(_docs(spark, sf_dir))
+    return _rounded(lm.surprisal_signals(docs, lm.fit(docs)), ["predictable_run_fraction", "surprisal_std", "sentence_surprisal_std"])
+
+
+@query(_LM.split(",\ne1 AS")[0] + """ SELECT CAST((SELECT count(*) FROM s) AS BIGINT) AS documents, CAST((SELECT sum(t) FROM t1) AS BIGINT) AS tokens, (SELECT count(*) FROM t1) AS vocabulary,
+round((SELECT sum(t) FROM t2 WHERE t > 1) / (SELECT sum(t) FROM t1), 6) AS bigram_coverage""")
+def language_model_summary(spark, sf_dir):
+    s = lm.fit(spread(_docs(spark, sf_dir)), keep_rows=False).summary()
+    return spark.createDataFrame([(s["documents"], s["tokens"], s["vocabulary"], round(s["bigram_coverage"], 6))], "documents long, tokens long, vocabulary long, bigram_coverage double")
+
+
+@query()
+def reference_mode(spark, sf_dir):
+    """Odd documents against a model of the even ones."""
+    docs = spread(_docs(spark, sf_dir))
+    model = lm.fit(docs.where("doc_id % 2 = 0"))
+    odd = docs.where("doc_id % 2 = 1")
+    return _rounded(lm.surprisal_signals(odd, model, False), ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(odd, model), 6)))
+
+
+@query(_W + f" SELECT count(*) AS n_documents, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NULL) AS n_analysable, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NOT NULL) AS n_non_english, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM w JOIN ({_GUARD}) g USING (doc_id)")
+def corpus_totals(spark, sf_dir):
+    return stats.corpus_totals(views(spread(_docs(spark, sf_dir))))
+
+
+@query(_COUNTS + ", v AS (SELECT x, sum(n) AS n FROM c GROUP BY 1) SELECT count(*) AS vocabulary_size, count(*) FILTER (WHERE n = 1) AS hapax_count, round(count(*) / sum(n), 6) AS corpus_ttr, round(count(*) FILTER (WHERE n = 1) / count(*), 6) AS hapax_ratio FROM v")
+def vocabulary(spark, sf_dir):
+    return stats.vocabulary(spread(_docs(spark, sf_dir)))
+
+
+@query("""SELECT lang, count(n_chars) AS n, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4) AS median, round(stddev_pop(n_chars), 4) AS stdev, CAST(min(n_chars) AS DOUBLE) AS min,
+round(quantile_cont(n_chars, 0.25), 4) AS p25, round(quantile_cont(n_chars, 0.75), 4) AS p75, round(quantile_cont(n_chars, 0.95), 4) AS p95, CAST(max(n_chars) AS DOUBLE) AS max FROM documents GROUP BY 1""")
+def length_summary(spark, sf_dir):
+    out = stats.describe(_docs(spark, sf_dir), "n_chars", ["lang"])
+    return out.select("lang", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "stdev", "min", "p25", "p75", "p95", "max")])
+
+
+@query("""WITH o AS (SELECT lang, n_chars AS n_words, n_chars % 97 + 0.5 AS value, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+b AS (SELECT *, (r * greatest(1, least(20, n // 50)) - 1) // n AS bin FROM o)
+SELECT lang, bin, max(n_words) AS edge, round(quantile_cont(value, 0.5), 5) AS median, round(mad(value) * 1.4826, 5) AS mad, count(*) AS n FROM b GROUP BY 1, 2""")
+def length_strata(spark, sf_dir):
+    """F1, F2 on a value of every document, within languages."""
+    rows = _docs(spark, sf_dir).select("doc_id", "lang", F.col("n_chars").alias("n_words"), (F.col("n_chars") % 97 + 0.5).cast("double").alias("value"))
+    binned = fusion.strata(rows, ["lang"]).withColumn("bin", F.col("bin").cast("long"))
+    edges = binned.groupBy("lang", "bin").agg(F.max("n_words").alias("edge"))
+    return edges.join(stats.median_mad(binned, ["lang", "bin"], "value"), ["lang", "bin"]).select("lang", "bin", "edge", F.round("median", 5).alias("median"), F.round("mad", 5).alias("mad"), "n")
+
+
+@query("SELECT doc_id, CASE WHEN substr(sha1(CAST(doc_id AS VARCHAR)), 40, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'A' ELSE 'B' END AS half FROM documents")
+def calibration_halves(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", cal.half_of(F.col("doc_id")).alias("half"))
+
+
+@query("""WITH j AS (SELECT n_chars, quality = 1 AS y FROM documents JOIN labels USING (doc_id)), r AS (SELECT y, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS k FROM j)
+SELECT round((sum(k) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)), 6) AS auc FROM r""")
+def label_auc(spark, sf_dir):
+    rows = _docs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("n_chars", (F.col("quality") == 1).alias("y"))
+    return stats.auc(rows, "n_chars", "y").select(F.round("auc", 6).alias("auc"))
+
+
+@query(_W + """, v AS (SELECT CAST(len(ws) AS DOUBLE) AS a, len(list_distinct(ws)) / len(ws) AS b FROM w WHERE len(ws) > 0),
+r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS y FROM v) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r""")
+def rank_correlation(spark, sf_dir):
+    v = T.view(F.col("text"))
+    rows = _docs(spark, sf_dir).select(v["n_words"].alias("n"), v["n_types"].alias("t")).where("n > 0").select(F.col("n").cast("double").alias("a"), (F.col("t") / F.col("n")).alias("b"))
+    return stats.spearman(rows, "a", "b").select(F.round("rho", 6).alias("rho"), "n")
+
+
+@query("SELECT doc_id, lang, source, n_chars, text FROM documents WHERE length(text) >= 200")
+def jsonl_round_trip(spark, sf_dir):
+    """Written as JSON lines and read back, with a least length."""
+    from .sources.readers import read_jsonl, write_jsonl
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = os.path.join(base, f"jsonl-{os.urandom(8).hex()}")
+    write_jsonl(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "lang", F.col("source").alias("src"), "n_chars"), path)
+    m = F.col("meta")
+    return read_jsonl(spark, path, min_chars=200).select(F.col("doc_id").cast("long").alias("doc_id"), m["lang"].alias("lang"), m["src"].alias("source"), m["n_chars"].cast("long").alias("n_chars"), "text")
+
+
+@query()
+def near_duplicates(spark, sf_dir):
+    return dedup.find_near_duplicates(_docs(spark, sf_dir))
+
+
+@query()
+def near_duplicate_summary(spark, sf_dir):
+    return dedup.summary(dedup.find_near_duplicates(_docs(spark, sf_dir)))
+
+
+@query()
+def scores(spark, sf_dir):
+    """Tier, score and strongest signal of every document, calibrated on the corpus itself."""
+    return self_scored(_docs(spark, sf_dir)).select("doc_id", "tier", "score", F.concat_ws(",", "families_fired").alias("families_fired"), F.get("evidence", F.lit(0))["signal"].alias("strongest"))
+
+
+@query()
+def tiers_by_language(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier counts and mean score by language."""
+    scored = self_scored(_docs(spark, sf_dir))
+    return scored.groupBy("lang", "tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 2).alias("mean_score")).orderBy("lang", "tier")
