@@ -38,7 +38,8 @@ PHRASE_BYTES = 64 << 20
 
 # A-Z to a-z; every ASCII character that is no digit or letter to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# The same words in a text whose case is kept.
+_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -253,6 +253,9 @@ def test_fm_index_equals_brute_force(spark, edge, empty, monkeypatch):
     assert fm_index.contamination(edge, bench).count() == len(EDGE) and fm_index.contamination(empty, bench).count() == 0
     assert fm_index.contamination(edge, bench.where("false")).where("size(__spans) > 0").count() == 0
     assert fm_index.cut_words("x a b, c. y", [(1, 4)]) == "x . y"
+    assert fm_index.cut_words("The É-Cat SAT, Down 5 times", [(1, 4), (5, 6)]) == "The , Down  times"
+    mixed = fm_index.contamination(spark.createDataFrame([(1, "Keep THIS. One Two\nTHREE four Five six SEVEN eight nine ten! And This")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string"), cut=True).first()
+    assert mixed["text"] == "Keep THIS. ! And This" and mixed["__spans"][0]["start"] == 2
 
 
 def test_index_search_and_locate():
