@@ -15,8 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: whole texts can be long.
-ARROW_ROWS = 512
-ARROW_BYTES = 8 << 20
+ARROW_ROWS = 256
+ARROW_BYTES = 4 << 20
 #: Side tables are broadcast only below this many bytes; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -83,6 +83,8 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     binary = column.cast(pa.large_binary()) if not pa.types.is_binary(column.type) else column
     for value in binary:
         yield value.as_py() or b""
+    # Workers live on: what a batch took goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 # --- hashing of byte ranges -------------------------------------------------------------------

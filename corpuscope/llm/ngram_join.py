@@ -47,7 +47,7 @@ SLACK = 0.10
 #: Buckets with more members than this are verified in blocks of families, not pair by pair.
 HOT = 64
 #: Documents and shingles of a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 100_000
 #: Ids of rows without a doc_id lie above this.
 NO_ID = (1 << 63) - (1 << 33)
 
@@ -312,9 +312,9 @@ def _block_links(percent: int):
         column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[place]
         owner, column = owner[column >= 0], column[column >= 0]
         same = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
-        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-            here = (column >= start) & (column < start + 4096)
-            part = np.zeros((len(nodes), 4096), dtype=np.float32)
+        for start in range(0, int(column.max(initial=-1)) + 1, 2048):
+            here = (column >= start) & (column < start + 2048)
+            part = np.zeros((len(nodes), 2048), dtype=np.float32)
             part[owner[here], column[here] - start] = 1
             same += part @ part.T
         comp = np.unique([rows[x][0] for x in nodes], return_inverse=True)[1]

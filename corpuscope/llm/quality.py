@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +40,6 @@ MAX_LABELLED = 20_000
 SEED = 17
 # Tokens: runs of word characters, and runs of other characters that are no space.
 _TOKEN = regex.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
-_kept: dict[bytes, int] = {}
-
-
-def _token_hash(token: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in token:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
 
 
 def _buckets(text: bytes) -> np.ndarray:
@@ -54,11 +47,7 @@ def _buckets(text: bytes) -> np.ndarray:
     tokens = _TOKEN.findall(text)
     if not tokens:
         return np.empty(0, dtype=np.int64)
-    if len(_kept) > 400_000:
-        _kept.clear()
-    for t in set(tokens).difference(_kept):
-        _kept[t] = _token_hash(t)
-    h = np.fromiter(map(_kept.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
     pairs = mix(h[:-1] * np.uint64(3) + h[1:])
     return (np.concatenate((mix(h), pairs)) % np.uint64(BUCKETS)).astype(np.int64)
 

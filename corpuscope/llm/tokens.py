@@ -38,7 +38,7 @@ BLOCK_IDS = 4096
 #: Ids of one file at most, for readers' memory.
 FILE_IDS = 8 << 20
 #: Pre-tokens kept in a worker; beyond it, the memory starts anew.
-KEPT = 1_500_000
+KEPT = 600_000
 
 # What is not among the characters that every Unicode version since 7.0 classes alike, and the
 # tokenizer's own pattern in the terms of ``re``, equal to it on those characters: fixed values.
