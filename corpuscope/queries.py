@@ -102,7 +102,7 @@ CASE WHEN n = 0 THEN NULL WHEN latin < 0.8 THEN 'script' WHEN fo >= 0.03 AND fo
 @query(_GUARD)
 def language_guard(spark, sf_dir):
     w = F.col("w")
-    rows = _docs(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("w"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", T.words(F.col("text")).alias("w"))
     return rows.select("doc_id", F.round(language.latin_share(w), 5).alias("latin_share"), F.round(language.english_share(w), 5).alias("english_share"), F.round(language.foreign_share(w), 5).alias("foreign_share"), language.best_language(w).alias("best_language"), language.reason_code(w).alias("reason"))
 
 
