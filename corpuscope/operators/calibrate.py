@@ -28,6 +28,8 @@ class CalibrationRun:
     search: list[tuple[float, float, float, bool]]
     family_z: DataFrame
     notes: list[str] = field(default_factory=list)
+    #: Statistics of the corpus itself, as :func:`corpuscope.operators.fusion.reference_stats` gives them.
+    stats: DataFrame | None = None
 
 
 def half_of(doc_id: Column) -> Column:
@@ -154,4 +156,4 @@ def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str
     evaluation["B"] |= {"score_median": round(bs[mid], 2), "score_p95": round(bs[p95], 2)}
     if evaluation["B"]["likely_rate"] > 1.5 * likely_target:
         notes.append(f"held-out half B reaches the likely tier at {evaluation['B']['likely_rate']:.2%}, above the {likely_target:.1%} target")
-    return CalibrationRun(cal, search, z, notes)
+    return CalibrationRun(cal, search, z, notes, stats)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,6 +25,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def running_total(df: DataFrame, order: list[str | Column], weight: str, name: str) -> DataFrame:
+    """``df`` with the total of ``weight`` up to and with each row in the order, as ``name``.
+
+    A range sort, totals within its parts, and the parts' offsets; a window over all rows would be
+    one task. Rows that tie in ``order`` have an arbitrary order among themselves.
+    """
+    parts = cut(df.orderBy(*order)).withColumn("__part", F.spark_partition_id())
+    upto = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # One row a part.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("__part").agg(F.sum(weight).alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    return parts.withColumn(name, F.sum(weight).over(upto)).join(offsets, "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``node, root``: the smallest node reachable by edges ``a, b``; alternating large and small stars."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())

@@ -14,9 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .components import components, cut, spread
+from .components import components, cut, running_total, spread
 from .signals import words_of
 
 SHINGLE, BINS, BANDS, MIN_SHINGLES = 5, 64, 16, 10
@@ -78,8 +77,9 @@ def find_near_duplicates(docs: DataFrame, threshold: float = 0.8, most_rounds: i
     edges = judged.where(F.col("similarity") >= threshold)
     roots = components(edges.select(F.col("anchor").alias("a"), F.col("doc_id").alias("b")))
     clusters = roots.groupBy("root").agg(F.count(F.lit(1)).alias("cluster_size"), F.min("node").alias("first"))
-    # U8: the largest first, then by first appearance; clusters are few against documents.
-    numbered = clusters.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("cluster_size"), "first")) - 1)
+    # U8: the largest first, then by first appearance.
+    numbered = running_total(clusters.withColumn("one", F.lit(1)), [F.desc("cluster_size"), F.col("first")], "one", "upto")
+    numbered = numbered.select("root", "cluster_size", (F.col("upto") - 1).cast("int").alias("cluster"))
     best = edges.select(F.explode(F.array("anchor", "doc_id")).alias("node"), "similarity").groupBy("node").agg(F.round(F.max("similarity"), 4).alias("max_similarity"))
     named = roots.join(numbered, "root").join(best, "node", "left").select(F.col("node").alias("doc_id"), "cluster", "cluster_size", "max_similarity")
     out = sigs.select("doc_id", F.col("sig").isNull().alias("short")).join(named, "doc_id", "left")

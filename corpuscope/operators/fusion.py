@@ -57,7 +57,7 @@ def long_form(profile: DataFrame, columns: Iterable[str], group: str | None = No
 
 
 def reference_stats(profile: DataFrame, group: str | None = None) -> DataFrame:
-    """``group, signal, bin, edge, median, mad, gmedian, gmad, n``; group null: all rows."""
+    """``grp, signal, bin, edge, median, mad, gmedian, gmad, n``; grp null: all rows. Persisted: bins x signals x groups rows."""
     long = long_form(profile, CORPUS_SIGNALS, group).persist()
     parts = []
     for grouped in [False] + ([True] if group else []):
@@ -65,15 +65,15 @@ def reference_stats(profile: DataFrame, group: str | None = None) -> DataFrame:
         rows = long.withColumn("grp", F.col(group).cast("string")).where("grp is not null") if grouped else long
         binned = strata(rows, keys)
         edges = binned.groupBy(*keys, "bin").agg(F.max("n_words").alias("edge"))
-        local = median_mad(binned, [*keys, "bin"], "value").drop("n")
-        over = median_mad(rows, keys, "value").select(*keys, F.col("median").alias("gmedian"), F.col("mad").alias("gmad"), "n")
+        local = median_mad(binned, [*keys, "bin"], "value", few=not grouped).drop("n")
+        over = median_mad(rows, keys, "value", few=not grouped).select(*keys, F.col("median").alias("gmedian"), F.col("mad").alias("gmad"), "n")
         if grouped:
             over = over.where(f"n >= {MIN_BIN}")
         part = edges.join(local, [*keys, "bin"]).join(over, keys)
         parts.append(part if grouped else part.withColumn("grp", F.lit(None).cast("string")))
     names = ["grp", "signal", "bin", "edge", "median", "mad", "gmedian", "gmad", "n"]
     out = parts[0].select(*names)
-    return out.unionByName(parts[1].select(*names)) if len(parts) > 1 else out
+    return (out.unionByName(parts[1].select(*names)) if len(parts) > 1 else out).persist()
 
 
 # --- calibration object ------------------------------------------------------------------------
@@ -124,7 +124,8 @@ def mid_rank(null: list[float], z: float) -> float:
 
 
 def _array(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A literal array as one foldable node: hundreds of literals would slow the analysis of every later step."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 def mid_rank_column(null: list[float], z: Column) -> Column:
@@ -157,9 +158,10 @@ def with_corpus_z(profile: DataFrame, stats: DataFrame, group: str | None = None
         kind = "struct<e:array<double>,m:array<double>,s:array<double>,g:double>"
         table = profile.sparkSession.createDataFrame([(g, *[v.get(s) for s in named]) for g, v in wide.items()], "__grp string, " + ", ".join(f"`__s_{s}` {kind}" for s in named))
         out = out.join(F.broadcast(table), F.col(group).cast("string") == F.col("__grp"), "left")
+    zs = {}
     for s in CORPUS_SIGNALS:
         if s in dropped or s not in whole or s not in profile.columns:
-            out = out.withColumn(f"z_{s}", F.lit(None).cast("double"))
+            zs[f"z_{s}"] = F.lit(None).cast("double")
             continue
         r = whole[s]
         med, scale = _located(_array(b["edge"] for b in r["b"]), _array(b["median"] for b in r["b"]), _array(b["mad"] for b in r["b"]), F.lit(float(r["gmad"])), F.col("n_words"))
@@ -168,7 +170,8 @@ def with_corpus_z(profile: DataFrame, stats: DataFrame, group: str | None = None
             gm, gs = _located(g["e"], g["m"], g["s"], g["g"], F.col("n_words"))
             med, scale = F.when(g.isNotNull(), gm).otherwise(med), F.when(g.isNotNull(), gs).otherwise(scale)
         z = F.greatest(F.lit(-Z_CAP), F.least(F.lit(Z_CAP), SIGNALS[s][1] * (F.col(s) - med) / scale))
-        out = out.withColumn(f"z_{s}", F.when(F.col("analysable") & F.col(s).isNotNull() & (scale > 0), z))
+        zs[f"z_{s}"] = F.when(F.col("analysable") & F.col(s).isNotNull() & (scale > 0), z)
+    out = out.withColumns(zs)
     return out.drop("__grp", *[c for c in out.columns if c.startswith("__s_")])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import MAD_SCALE, TIERS
 from ..functions import text as T
+from .components import running_total
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -23,10 +24,13 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None, exact: boo
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
-def median_mad(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """F2: median, and 1.4826 times the median deviation from it, of each group."""
+def median_mad(df: DataFrame, by: list[str], column: str, few: bool = False) -> DataFrame:
+    """F2: median, and 1.4826 times the median deviation from it, of each group.
+
+    ``few``: the caller knows a bound of the groups, so that their medians may be broadcast.
+    """
     med = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"))
-    away = df.join(F.broadcast(med), by).withColumn("__away", F.abs(F.col(column) - F.col("median")))
+    away = df.join(F.broadcast(med) if few else med, by).withColumn("__away", F.abs(F.col(column) - F.col("median")))
     return away.groupBy(*by).agg(F.first("median").alias("median"), (F.percentile("__away", 0.5) * MAD_SCALE).alias("mad"), F.count(F.lit(1)).alias("n"))
 
 
@@ -48,11 +52,15 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def mean_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1 with ties averaged, as ``__rank``; by value counts, not by one sorted task per row."""
+    """Ranks from 1 with ties averaged, as ``__rank``; from value counts, whose running totals no single task makes."""
     by = by or []
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__rank", F.sum("__c").over(w) - (F.col("__c") - 1) / 2)
+    if by:
+        w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("__upto", F.sum("__c").over(w))
+    else:
+        ranked = running_total(counts, [column], "__c", "__upto")
+    ranked = ranked.withColumn("__rank", F.col("__upto") - (F.col("__c") - 1) / 2).drop("__upto")
     return df.join(ranked.drop("__c"), [*by, column])
 
 

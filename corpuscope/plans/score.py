@@ -70,4 +70,4 @@ def self_scored(docs: DataFrame, min_documents: int = 40) -> DataFrame:
     p = profile(docs)
     rows = p.rows.persist()
     run = calibrate(rows, likely_target=0.05, min_documents=min_documents)
-    return fu.fuse(rows, fu.reference_stats(rows), run.calibration, dropped=p.dropped)
+    return fu.fuse(rows, run.stats, run.calibration, dropped=p.dropped)

@@ -5,6 +5,7 @@ import pytest
 
 from corpuscope import registry
 from corpuscope.operators import dedup
+from corpuscope.operators.components import running_total
 from corpuscope.sources import readers
 
 
@@ -54,3 +55,16 @@ def test_near_duplicates(spark):
     assert all(rows[i]["cluster"] is None for i in range(40, 80))
     with pytest.raises(ValueError):
         dedup.find_near_duplicates(df, 0)
+
+
+def test_running_total(spark):
+    """Totals across range parts, with ties, a hot value, a weight of zero, and an empty table."""
+    rows = [(i, min(i, 40), i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, k long, w long").repartition(7)
+    got = {r["i"]: r["upto"] for r in running_total(df, ["k", "i"], "w", "upto").collect()}
+    total, want = 0, {}
+    for i, _, w in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += w
+        want[i] = total
+    assert got == want
+    assert running_total(df.where("false"), ["k"], "w", "upto").count() == 0
