@@ -307,6 +307,36 @@ def test_line_dedup(spark, edge, empty):
     assert line_dedup.drop_templates(edge).count() == len(EDGE) and line_dedup.drop_templates(empty).count() == 0
 
 
+@pytest.mark.parametrize("other", [100, 300])
+def test_line_dedup_finds_templates_that_share_a_leaf(spark, other):
+    """Two families of equal length and lead, and one exact line that half of all documents hold."""
+    rows = [f"Posted by user n{chr(97 + i // 26)}{chr(97 + i % 26)} on the main board" for i in range(100)]
+    rows += [f"Posted by user f{chr(97 + i // 26)}{chr(97 + i % 26)} in our old forum" for i in range(other)]
+    rows += ["Posted by user nobody at no known place"] * (100 + other)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = [r["text"] for r in line_dedup.drop_templates(docs).where("__n_dropped = 0").collect()]
+    assert sorted(t.split()[-1] for t in kept) == ["board", "forum", "place"]
+
+
+def test_akin_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "STAR_ROUNDS", 2)
+    rng = random.Random(6)
+    rows = sorted({" ".join(["a", "b", "c", *(rng.choice("xyzuv") for _ in range(rng.choice((0, 1, 2, 5, 9))))]) for _ in range(250)})
+    root = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j in range(i):
+            p, q = x.split(), rows[j].split()
+            if len(p) == len(q) and sum(u == v for u, v in zip(p, q)) >= 0.7 * len(p):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.drop_templates(docs).where("__n_dropped = 1").collect()}
+    recurring = [{i for i, x in enumerate(root) if x == r} for r in set(root) if root.count(r) >= 3]
+    assert got <= set().union(*recurring)
+    # Each template keeps one line, and has three at least.
+    assert recurring and all(3 * len(lines - got) <= len(lines) for lines in recurring)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing(bits, tmp_path):
     rng = np.random.default_rng(bits)
