@@ -158,6 +158,7 @@ def test_quality(spark, edge, empty):
     assert quality.importance_sample(empty, labels).count() == 0
 
 
+
 def test_kth(spark):
     rng = random.Random(9)
     values = [rng.gauss(0, 100) for _ in range(2000)]
@@ -337,6 +338,16 @@ def test_akin_lines_equal_brute_force(spark, monkeypatch):
     assert recurring and all(3 * len(lines - got) <= len(lines) for lines in recurring)
 
 
+def test_long_lines_recur_in_two_documents(spark):
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
+    docs = spark.createDataFrame([(1, long), (2, f"own\n{long}"), (3, "a short line twice"), (4, "a short line twice"), (5, f"{long[:-3]}end")], "doc_id long, text string")
+    out = {r["doc_id"]: r["__n_dropped"] for r in line_dedup.drop_templates(docs.where("doc_id < 5")).collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 0}
+    # Two long lines that are akin.
+    assert line_dedup.drop_templates(docs.where("doc_id in (1, 5)")).where("__n_dropped = 1").count() == 1
+
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing(bits, tmp_path):
     rng = np.random.default_rng(bits)
