@@ -11,12 +11,18 @@ of one half of it fit the target; the other half is held out. The log weight is
 n-grams' log ratios, measured from the mean ratio that parts the held-out good texts best from
 those without quality, plus the labels' log odds and the log of ``loss_ratio`` (how much worse it
 is to lose a good text than to keep a bad one), which matter for very short texts; k is the number of documents whose weight is above one, so that the draw
-decides among documents near that border and keeps those far above it. Tasks count into arrays of
+decides among documents near that border and keeps those far above it.
+
+Toxic texts can be of good quality, so they have a model of their own, fitted on the same half of the
+labels: the log ratio of the shares of toxic and of clean texts that hold a word, for words that at
+least ``TOXIC_TEXTS`` toxic texts hold and that are over e^``TOXIC_RATIO`` times as common there. A
+text's toxicity is the sum of its distinct words' log ratios by their number; the border is the one
+that parts the held-out toxic and clean texts best, and texts beyond it are not drawn. Tasks count into arrays of
 fixed size; only sums of such arrays, and the labelled rows' scores, reach the driver.
 
 Defined cases: a null or wordless text has no n-gram, the log weight 0 and is rejected; rows with a
 null id are scored, but never labelled; a label row without a document is ignored, conflicting
-labels count as bad; without held-out labels of both kinds the border is a ratio of one, and without
+labels count as bad; without held-out labels of both kinds the border is a ratio of one (of toxicity: none is rejected), and without
 any good label every document with words is kept; repeated rows get equal results (the noise follows
 from id and text); an empty table gives an empty result; other columns are kept.
 """
@@ -38,42 +44,64 @@ from .common import mix, tune, utf8, written
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
 SEED = 17
+#: Buckets of the words that tell toxic texts; texts that must hold a word; its least log ratio.
+WORDS = 1 << 18
+TOXIC_TEXTS, TOXIC_RATIO = 3, 2.0
 # Tokens: runs of word characters, and runs of other characters that are no space.
 _TOKEN = regex.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 
 
-def _buckets(text: bytes) -> np.ndarray:
-    """The buckets of a text's unigrams and bigrams. Case is kept: shouting is a sign."""
+def _hashes(text: bytes) -> np.ndarray:
+    """A hash of every token. Case is kept: shouting is a sign."""
     tokens = _TOKEN.findall(text)
-    if not tokens:
-        return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    """The buckets of a text's unigrams and bigrams."""
     pairs = mix(h[:-1] * np.uint64(3) + h[1:])
     return (np.concatenate((mix(h), pairs)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _words(h: np.ndarray) -> np.ndarray:
+    """The buckets of a text's distinct tokens."""
+    return np.unique(h % np.uint64(WORDS)).astype(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's n-grams by bucket, of all texts and of those that fit the target."""
-    raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    """The task's n-grams by bucket, of all texts and of those that fit the target.
+
+    From BUCKETS on: the labelled texts by word, the toxic ones first (as ``n_raw``), then the clean.
+    """
+    raw, good, toxic, clean = (np.zeros(n, dtype=np.int64) for n in (BUCKETS, BUCKETS, WORDS, WORDS))
     for batch in batches:
-        labels = batch.column("__fit").to_pylist()
-        for text, label in zip(utf8(batch.column("__text")), labels, strict=True):
-            n = np.bincount(_buckets(text), minlength=BUCKETS)
+        labels = zip(batch.column("__fit").to_pylist(), batch.column("__fit_toxic").to_pylist(), strict=True)
+        for text, (fit, fit_toxic) in zip(utf8(batch.column("__text")), labels, strict=True):
+            h = _hashes(text)
+            n = np.bincount(_buckets(h), minlength=BUCKETS)
             raw += n
-            if label:
+            if fit:
                 good += n
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(raw), pa.array(good)], ["bucket", "n_raw", "n_good"])
+            if fit_toxic is not None:
+                (toxic if fit_toxic else clean)[_words(h)] += 1
+    held = np.flatnonzero(toxic + clean)
+    bucket = np.concatenate((np.arange(BUCKETS), BUCKETS + held)).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate((raw, toxic[held]))), pa.array(np.concatenate((good, clean[held])))], ["bucket", "n_raw", "n_good"])
 
 
-def _scored(ratio: np.ndarray, text_col: str):
+def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = np.zeros(WORDS)
+        toxic[words] = word_ratios
         for batch in batches:
-            sums, counts = [], []
+            sums, counts, toxicity = [], [], []
             for text in utf8(batch.column(text_col)):
-                b = _buckets(text)
+                h = _hashes(text)
+                b = _buckets(h)
                 sums.append(float(ratio[b].sum()))
                 counts.append(len(b))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], [*batch.schema.names, "__sum", "__grams"])
+                toxicity.append(float(toxic[_words(h)].mean()) if len(h) else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64()), pa.array(toxicity, pa.float64())], [*batch.schema.names, "__sum", "__grams", "__toxicity"])
 
     return run
 
@@ -124,32 +152,42 @@ def importance_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MA
     fit = (F.col("q") > 0) & (F.col("t") == 0) & (F.pmod(F.xxhash64("__label_id", F.lit(seed)), F.lit(2)) == 0)
     # good: held-out good texts and texts without quality, which the border parts; toxic ones are in neither.
     held = F.when(~fit & ((F.col("q") <= 0) | (F.col("t") == 0)), F.col("q") > 0)
-    rows = spark.createDataFrame([tuple(r) for r in known.select("__label_id", fit, held).collect()], "__label_id long, __fit boolean, __good boolean")
+    half = F.pmod(F.xxhash64("__label_id", F.lit(seed)), F.lit(2))
+    fit_toxic, held_toxic = F.when(half == 0, F.col("t") > 0), F.when(half == 1, F.col("t") > 0)
+    rows = spark.createDataFrame([tuple(r) for r in known.select("__label_id", fit, held, fit_toxic, held_toxic).collect()], "__label_id long, __fit boolean, __good boolean, __fit_toxic boolean, __held_toxic boolean")
     labelled = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__label_id"), "left").drop("__label_id")
 
-    counts = labelled.select(F.col(text_col).alias("__text"), "__fit").mapInArrow(_counted, "bucket int, n_raw long, n_good long")
-    totals = counts.groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_good").alias("g")).collect()
+    counts = labelled.select(F.col(text_col).alias("__text"), "__fit", "__fit_toxic").mapInArrow(_counted, "bucket int, n_raw long, n_good long")
+    totals = counts.groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_good").alias("g")).where(f"bucket < {BUCKETS} or r >= {TOXIC_TEXTS}").collect()
+    n_toxic, n_clean = known.agg(F.sum(fit_toxic.cast("long")), F.sum((~fit_toxic).cast("long"))).first()
+    word_ratios = {r["bucket"] - BUCKETS: np.log((r["r"] + 0.5) / (n_toxic + 1)) - np.log((r["g"] + 0.5) / (n_clean + 1)) for r in totals if r["bucket"] >= BUCKETS}
+    word_ratios = {w: x for w, x in word_ratios.items() if x > TOXIC_RATIO}
     raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in totals:
+        if r["bucket"] >= BUCKETS:
+            continue
         raw[r["bucket"]] += r["r"]
         good[r["bucket"]] += r["g"]
     fitted = good.sum() > BUCKETS
     ratio = np.log(good / good.sum()) - np.log(raw / raw.sum()) if fitted else np.zeros(BUCKETS)
 
-    schema = T.StructType([*labelled.schema.fields, T.StructField("__sum", T.DoubleType()), T.StructField("__grams", T.LongType())])
-    scored = written(labelled.mapInArrow(_scored(ratio, text_col), schema), "importance")
+    schema = T.StructType([*labelled.schema.fields, T.StructField("__sum", T.DoubleType()), T.StructField("__grams", T.LongType()), T.StructField("__toxicity", T.DoubleType())])
+    scored = written(labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values())), text_col), schema), "importance")
     seen = scored.where("__good is not null and __grams > 0").select("__good", (F.col("__sum") / F.col("__grams")).alias("m")).collect()
     border = _border([(r["__good"], r["m"]) for r in seen]) if fitted else -1.0
     kept = sum(r["__good"] for r in seen)
+    judged = [(not r["__held_toxic"], -r["__toxicity"]) for r in scored.where("__held_toxic is not null and __grams > 0").select("__held_toxic", "__toxicity").collect()]
+    most_toxic = -_border(judged) if len({clean for clean, _ in judged}) == 2 else float("inf")
+    fits = (F.col("__grams") > 0) & (F.col("__toxicity") <= F.lit(most_toxic))
     prior = float(np.log((kept + 1) / (len(seen) - kept + 1)) + np.log(loss_ratio))
     weight = F.when(F.col("__grams") > 0, F.col("__sum") - border * F.col("__grams") + prior).otherwise(0.0)
     # Uniform in (0, 1) from 52 bits of a hash of id and text.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 12) + 0.5) / float(1 << 52)
     out = scored.withColumns({"__log_weight": weight, "__noise": -F.log(-F.log(uniform))})
-    keys = out.where("__grams > 0").select((F.col("__log_weight") + F.col("__noise")).alias("__key"), "__log_weight")
+    keys = out.where(fits).select((F.col("__log_weight") + F.col("__noise")).alias("__key"), "__log_weight")
     k = keys.where("__log_weight > 0").count()
     cut = _kth(keys, k)
-    selected = (F.col("__grams") > 0) & (F.col("__log_weight") + F.col("__noise") >= F.lit(cut))
+    selected = fits & (F.col("__log_weight") + F.col("__noise") >= F.lit(cut))
     return out.withColumn("__selected", selected).select(*docs.columns, "__grams", "__log_weight", "__noise", "__selected")
 
 

@@ -158,6 +158,17 @@ def test_quality(spark, edge, empty):
     assert quality.importance_sample(empty, labels).count() == 0
 
 
+def test_quality_rejects_toxic_texts_of_good_quality(spark):
+    rng = random.Random(4)
+    words = ["the", "cat", "sat", "on", "mats", "dogs"]
+    texts = [" ".join(rng.choice(["vile", "scum"]) if i % 5 == 0 and j % 10 == 0 else rng.choice(words) for j in range(40)) for i in range(300)]
+    bad = [" ".join(rng.choice(["the", "cat"]) + "$$$ ###" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300), int(i < 300 and i % 5 == 0)) for i in range(360) if i % 3], "doc_id long, quality int, toxic int")
+    out = quality.importance_sample(docs, labels).collect()
+    assert not any(r["__selected"] for r in out if r["doc_id"] % 5 == 0 or r["doc_id"] >= 300)
+    assert sum(r["__selected"] for r in out) >= 0.95 * 240
+
 
 def test_kth(spark):
     rng = random.Random(9)
