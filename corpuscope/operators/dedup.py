@@ -2,7 +2,9 @@
 
 Signatures are made in one Arrow pass. A band without an empty bin is a bucket key; a bucket's
 members are compared with its first one, those that do not match form a bucket around the next,
-so that a flood of copies costs one comparison a copy. Components of the matches are clusters.
+so that a flood of copies costs one comparison a copy. What is left of a bucket after ``most_rounds``
+anchors is compared in the same way within one task, which holds 512 bytes a member. Components of
+the matches are clusters.
 """
 
 from __future__ import annotations
@@ -50,6 +52,24 @@ def similarity(a, b):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x >= 0)), lambda x: x)) / float(BINS)
 
 
+def _finished(threshold: float):
+    """The matches of a bucket's members by one anchor after another, to the last."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by("doc_id")
+        ids = bucket.column("doc_id").to_numpy()
+        sigs = bucket.column("sig").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, BINS)
+        found: list[tuple] = []
+        while len(ids) > 1:
+            s = ((sigs[1:] == sigs[0]) & (sigs[0] >= 0)).sum(axis=1) / float(BINS)
+            hit = s >= threshold
+            found.append((np.full(hit.sum(), ids[0]), ids[1:][hit], s[hit]))
+            ids, sigs = ids[1:][~hit], sigs[1:][~hit]
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["anchor", "doc_id", "similarity"])
+
+    return run
+
+
 def find_near_duplicates(docs: DataFrame, threshold: float = 0.8, most_rounds: int = 60) -> DataFrame:
     """doc_id, cluster (null alone; 0 the largest), cluster_size, max_similarity, short."""
     if not 0 < threshold <= 1:
@@ -75,6 +95,9 @@ def find_near_duplicates(docs: DataFrame, threshold: float = 0.8, most_rounds: i
         if not left.limit(1).count():
             break
     edges = judged.where(F.col("similarity") >= threshold)
+    if left.limit(1).count():
+        rest = left.join(full.select("doc_id", "sig"), "doc_id").groupBy("key").applyInArrow(_finished(threshold), "anchor long, doc_id long, similarity double")
+        edges = cut(edges.unionByName(rest).distinct())
     roots = components(edges.select(F.col("anchor").alias("a"), F.col("doc_id").alias("b")))
     clusters = roots.groupBy("root").agg(F.count(F.lit(1)).alias("cluster_size"), F.min("node").alias("first"))
     # U8: the largest first, then by first appearance.

@@ -68,3 +68,21 @@ def test_running_total(spark):
         want[i] = total
     assert got == want
     assert running_total(df.where("false"), ["k"], "w", "upto").count() == 0
+
+
+def test_buckets_are_compared_to_the_last_member(spark, monkeypatch):
+    """One bucket with more anchors than rounds: texts that share a passage, and a copy of each."""
+    monkeypatch.setattr(dedup, "BANDS", 1)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    passage = [word() for _ in range(300)]
+    part = dedup.signature(passage)[: dedup.ROWS].tolist()
+    assert min(part) >= 0
+    texts = []
+    while len(texts) < 5:
+        words = passage + [word() for _ in range(120)]
+        if dedup.signature(words)[: dedup.ROWS].tolist() == part:
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
+    full, few = ({r["doc_id"]: tuple(r) for r in dedup.find_near_duplicates(df, most_rounds=n).collect()} for n in (60, 1))
+    assert few == full and len({r[1] for r in full.values()}) == 5 and all(full[i][1] == full[i + 5][1] is not None for i in range(5))
