@@ -208,11 +208,11 @@ def language_model_summary(spark, sf_dir):
 
 @query()
 def reference_mode(spark, sf_dir):
-    """Odd documents against a model of the even ones."""
+    """All documents against a model of all turns of the conversations."""
     docs = spread(_docs(spark, sf_dir))
-    model = lm.fit(docs.where("doc_id % 2 = 0"))
-    odd = docs.where("doc_id % 2 = 1")
-    return _rounded(lm.surprisal_signals(odd, model, False), ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(odd, model), 6)))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
+    model = lm.fit(spread(turns))
+    return _rounded(lm.surprisal_signals(docs, model, False), ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(docs, model), 6)))
 
 
 @query(_W + f" SELECT count(*) AS n_documents, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NULL) AS n_analysable, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NOT NULL) AS n_non_english, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM w JOIN ({_GUARD}) g USING (doc_id)")

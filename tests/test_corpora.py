@@ -86,3 +86,11 @@ def test_buckets_are_compared_to_the_last_member(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
     full, few = ({r["doc_id"]: tuple(r) for r in dedup.find_near_duplicates(df, most_rounds=n).collect()} for n in (60, 1))
     assert few == full and len({r[1] for r in full.values()}) == 5 and all(full[i][1] == full[i + 5][1] is not None for i in range(5))
+
+
+def test_reference_mode_scores_every_document(spark):
+    from corpuscope import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.reference_mode(spark, sf).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
