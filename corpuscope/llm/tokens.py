@@ -3,8 +3,8 @@
 :class:`Encoder` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``. Byte-level
 BPE never merges across its pre-tokens, so the ids of a pre-token are kept once the library has
 encoded it; new pre-tokens of a batch are encoded together in one call and told apart by the
-library's word ids. Texts with characters on which Unicode versions of pre-tokenizers may differ
-go to the library as they are.
+library's word ids. Texts with characters on which Unicode versions of pre-tokenizers may differ, or
+with the string of an added token, go to the library as they are.
 
 File format (``.ids``): ``magic "CSIDS1\\0\\0" | u32 bits | u32 block ids | u64 ids | u64 blocks |
 u64 block starts[blocks + 1] | blocks``. A block holds ``block ids`` ids (the last fewer), each in
@@ -60,7 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
@@ -69,7 +70,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         pieces: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
-            if _ODD.search(text):
+            if _ODD.search(text) or (self.added and self.added.search(text)):
                 out[i] = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
                 pieces.append((i, _SPLIT.findall(text)))

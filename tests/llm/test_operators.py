@@ -358,6 +358,17 @@ def test_long_lines_recur_in_two_documents(spark):
     assert line_dedup.drop_templates(docs.where("doc_id in (1, 5)")).where("__n_dropped = 1").count() == 1
 
 
+def test_ids_equal_the_plain_call():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    enc = tokens.Encoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a b", "a <|endof text|>  b", " <|endoftext|><|endoftext|>\n x", ""]
+    for text, data in zip(texts, enc(texts), strict=True):
+        assert np.frombuffer(data, dtype=enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(enc([texts[0]])[0], dtype=enc.dtype)
+
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing(bits, tmp_path):
