@@ -6,12 +6,14 @@ Nothing outside :mod:`corpuscope.llm` imports this module.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: whole texts can be long.
@@ -38,11 +40,15 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Where the setting is unset (local tests), a folder of the warehouse's parent is set as one.
+    Where the setting is unset, a local session (one process, as in tests) gets a folder of its own;
+    a cluster must name one, since its executors cannot read one another's disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ.get("CORPUSCOPE_SHARED", "file:///tmp/checkpoints")
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='corpuscope-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = f"file://{os.path.abspath(base)}"
@@ -54,7 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`written` wrote and nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -87,23 +102,7 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     pa.default_memory_pool().release_unused()
 
 
-# --- hashing of byte ranges -------------------------------------------------------------------
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = {"n": 0}
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 1 << 16, 2 * _powers["n"])
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[key] = np.multiply.accumulate(row)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+# --- hashing of words and shingles ------------------------------------------------------------
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,12 +114,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), by one running sum over ``data``."""
-    up, down = _grown(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+#: Longest word, in bytes, that the table of bytes by place hashes; longer ones go to xxh3.
+_PLACES = 64
+_TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 
 
 def normal(text: bytes) -> bytes:
@@ -128,19 +124,38 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def shingles(words: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles of :func:`normal` words.
+def word_hashes(words: bytes) -> np.ndarray:
+    """A hash for each of :func:`normal` words: sums of random values by byte and place (tabulation)."""
+    data = np.frombuffer(words + b" ", dtype=np.uint8)
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    lengths = ends - starts + 1
+    at = np.arange(len(data)) - np.repeat(starts, lengths)
+    long = np.flatnonzero(lengths > _PLACES)
+    if len(long):
+        at = np.minimum(at, _PLACES - 1)
+    h = np.add.reduceat(_TABLE[(at << 8) | data], starts)
+    for i in long.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(words[starts[i] : ends[i]])
+    return h
 
-    Fewer words give their whole sequence as one shingle; none give none.
+
+def shingle_hashes(words: bytes, width: int = 5) -> np.ndarray:
+    """A hash for each run of ``width`` words, in order; fewer words give one for their whole sequence.
+
+    The hashes of a run's words are combined in order by steps that are not linear, so that regular
+    words give no regular hashes.
     """
     if not words:
         return np.empty(0, dtype=np.uint64)
-    data = np.frombuffer(words, dtype=np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.concatenate((gaps, [len(data)]))
-    if len(starts) > width:
-        starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    return np.unique(range_hashes(data, starts, ends))
+    h = word_hashes(words)
+    width = min(width, len(h))
+    x = h[: len(h) - width + 1] + np.uint64(width)
+    for j in range(1, width):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - width + 1 + j]
+    return mix(x)
+
+
+def shingles(words: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct :func:`shingle_hashes`."""
+    return np.unique(shingle_hashes(words, width))

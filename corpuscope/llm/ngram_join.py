@@ -36,11 +36,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, mix, normal, shingles, tune, utf8, written
+from .common import BROADCAST_BYTES, discard, mix, normal, shingles, tune, utf8, written
 
 #: Share of segments beyond the pigeonhole's need: what empty and costly subsets may take.
 SLACK = 0.10
@@ -48,8 +49,10 @@ SLACK = 0.10
 HOT = 64
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 100_000
-#: Ids of rows without a doc_id lie above this.
-NO_ID = (1 << 63) - (1 << 33)
+#: Keys that a task deals at once, and shingles to a part of the keys.
+FLUSH_KEYS, PART_SHINGLES = 500_000, 4_000_000
+#: Entries of one key among the keys dealt at once from which on it is hot.
+HOT_KEYS = 32
 
 _DELETED = np.uint64(0xD6E8FEB86659FD93)
 _OWN, _LOWER = 1, 2
@@ -158,76 +161,224 @@ def set_keys(tokens: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray
         yield role, np.concatenate(keys), np.concatenate(kinds), max(0, len(full) - need) if need <= len(full) else 0
 
 
-def _class_of(words: bytes) -> tuple[int, int]:
-    """Two 64-bit hashes of the word sequence; texts with equal sequences are one node."""
+def _node(words: bytes) -> tuple[int, int]:
+    """128 bits of the word sequence; texts with equal sequences are one node."""
     digest = xxhash.xxh3_128_digest(words)
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the set's tokens in a power of two of bits, at least one and a half a token.
+
+    Every place where two sketches differ stands for a token that only one of the sets has, so the
+    differing places are a lower bound of the sets' symmetric difference.
+    """
+    bits = 64
+    while bits < 1.5 * len(tokens):
+        bits *= 2
+    odd = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, checks, sizes = [], [], []
+        rows = []
         for words in map(normal, utf8(batch.column("__text"))):
-            node, check = _class_of(words) if words else (None, None)
-            nodes.append(node)
-            checks.append(check)
-            sizes.append(len(shingles(words)))
-        yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64())], ["id", "node", "check", "n"])
+            tokens = shingles(words)
+            rows.append((*_node(words), len(tokens), sketch(tokens)) if words else (None, None, 0, None))
+        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in rows], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__raw"), *columns], ["id", "raw", "node", "check", "n", "bits"])
+
+
+# --- keys, dealt in blocks --------------------------------------------------------------------
+
+_BLOCK_FIELDS = ["part", "hot", "keys", "rest"]
+_BLOCK_SCHEMA = "part int, hot boolean, keys binary, rest binary"
+_ENTRY = np.dtype([("node", "<i8"), ("count", "<u2"), ("spare", "<u2"), ("role", "u1")])
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _place(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, by its upper 24 bits."""
+    return (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
+
 
+def _block(part: int, hot: bool, keys: np.ndarray, kinds: np.ndarray, owner: np.ndarray, entries: np.ndarray) -> tuple:
+    """A row of one part's keys: 40 bits each (the part holds the upper ones), hot ones in full.
 
-def _keyed(percent: int):
+    Keys of one owner follow one another; an owner is told once, with the number of its keys.
+    """
+    edge = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]))
+    counts = np.diff(edge)
+    rows = entries[owner[edge[:-1]]]
+    if counts.max() > 65535:  # told in several runs
+        times = -(-counts // 65535)
+        rows, last = np.repeat(rows, times), np.cumsum(times) - 1
+        whole = np.full(len(rows), 65535)
+        whole[last] = counts - (times - 1) * 65535
+        counts = whole
+    rows["count"] = counts
+    raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
+    data = raw.tobytes() if hot else np.ascontiguousarray(raw[:, :5]).tobytes()
+    rest = zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(4, "little") + rows.tobytes() + kinds.tobytes())
+    return part, hot, data, rest
+
+
+def _unblock(part: int, hot: bool, data: bytes, rest: bytes) -> tuple[np.ndarray, ...]:
+    """key, node, kind, role and spare of a block's keys."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    if hot:
+        keys = raw.view("<i8")
+    else:
+        wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+        wide[:, :5] = raw.reshape(-1, 5)
+        keys = wide.view("<i8").ravel() | np.int64(part << 40)
+    rest = zstandard.ZstdDecompressor().decompress(rest)
+    n = int.from_bytes(rest[:4], "little")
+    rows = np.frombuffer(rest, dtype=_ENTRY, count=n, offset=4)
+    kinds = np.frombuffer(rest, dtype=np.int8, offset=4 + n * _ENTRY.itemsize)
+    times = rows["count"].astype(np.int64)
+    return keys, np.repeat(rows["node"], times), kinds, np.repeat(rows["role"], times), np.repeat(rows["spare"], times)
+
+
+def _dealt(at: np.ndarray, to: np.ndarray, hot: bool, full: np.ndarray, kinds: np.ndarray, owner: np.ndarray, entries: np.ndarray) -> list[tuple]:
+    """Blocks of the keys ``at``, by the part ``to`` which each goes."""
+    if not len(at):
+        return []
+    by = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")
+    edges = np.flatnonzero(np.diff(to[by])) + 1
+    parts = to[by[np.concatenate(([0], edges))]].tolist()
+    return [_block(p, hot, full[x], kinds[x], owner[x], entries) for p, x in zip(parts, np.split(at[by], edges), strict=True)]
+
+
+def _blocks(found: list, parts: int) -> pa.RecordBatch:
+    """The keys of some texts as a row for each part, and rows of hot keys, which are dealt by node.
+
+    A key that many of these texts hold needs no meeting to be known as shared: its entries go
+    through as they are, and two of them to the key's part, so that others are told.
+    """
+    keys = np.concatenate([f[0] for f in found]).view(np.uint64)
+    kinds = np.concatenate([f[1] for f in found])
+    entries = np.zeros(len(found), dtype=_ENTRY)
+    for i, name in enumerate(("node", "role", "spare"), 2):
+        entries[name] = [f[i] for f in found]
+    owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    part = _place(keys, parts)
+    full = (part.astype(np.uint64) << np.uint64(40)) | (keys & _LOW)
+    out = []
+    usual = np.ones(len(full), dtype=bool)
+    # Only where some slot of a table is met that often can a key be hot.
+    if np.bincount((full & np.uint64((1 << 20) - 1)).astype(np.int64)).max() >= HOT_KEYS:
+        order = np.argsort(full, kind="stable")
+        start = np.concatenate(([0], np.flatnonzero(np.diff(full[order])) + 1))
+        counts = np.diff(np.concatenate((start, [len(full)])))
+        of_hot = np.repeat(counts >= HOT_KEYS, counts)
+        hot = np.sort(order[of_hot])
+        usual[hot] = False
+        # Two of each key's entries, a probe among them if there is one, stay with the usual ones.
+        firsts = order[np.lexsort((-kinds[order], np.repeat(np.arange(len(start)), counts)))]
+        for shift in (0, 1):
+            usual[firsts[start[counts >= HOT_KEYS] + shift]] = True
+        dealt = (mix(entries["node"].view(np.uint64))[owner[hot]] % np.uint64(parts)).astype(np.int64)
+        out += _dealt(hot, dealt, True, full, kinds, owner, entries)
+    at = np.flatnonzero(usual)
+    out += _dealt(at, part[at], False, full, kinds, owner, entries)
+    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], _BLOCK_FIELDS)
+
+
+def _keyed(percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class is keyed once a task; the set is bounded
+        found: list = []
+        rows = 0
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            rows = 0
             for words in map(normal, utf8(batch.column("__text"))):
-                if not words or (node := _class_of(words)[0]) in seen:
+                if not words or (node := _node(words)[0]) in seen:
                     continue
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(node)
                 for role, keys, kinds, spare in set_keys(shingles(words), percent):
-                    tag = (kinds.astype(np.int32) | np.int32(role << 2)) | np.int32(spare << 4)
-                    out.append((keys, np.full(len(keys), node, dtype=np.int64), tag))
+                    found.append((keys, kinds, node, role, min(spare, 65535)))
                     rows += len(keys)
-                if rows > 200_000:
-                    yield _key_batch(out)
-                    out, rows = [], 0
-            if out:
-                yield _key_batch(out)
+                if rows >= FLUSH_KEYS:
+                    yield _blocks(found, parts)
+                    found, rows = [], 0
+        if found:
+            yield _blocks(found, parts)
 
     return run
 
 
-def _key_batch(parts: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], ["key", "node", "tag"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, node, kind, role, spare`` of the part's keys that two nodes hold, one of them as a probe."""
+    held: list[tuple] = []
+    through: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in _BLOCK_FIELDS), strict=True):
+            (through if row[1] else held).append(_unblock(*row))
+    kept = [tuple(np.concatenate(c) for c in zip(*through, strict=True))] if through else []
+    if held:
+        key, node, kind, role, spare = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        start = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1))
+        nodes = node[order]
+        some = (np.minimum.reduceat(nodes, start) != np.maximum.reduceat(nodes, start)) & (np.maximum.reduceat(kind[order], start) > 0)
+        chosen = order[np.repeat(some, np.diff(np.concatenate((start, [len(key)]))))]
+        kept.append((key[chosen], node[chosen], kind[chosen], role[chosen], spare[chosen]))
+    if not kept:
+        return
+    key, node, kind, role, spare = (np.concatenate(c) for c in zip(*kept, strict=True))
+    # The same class may come from several tasks: of its rows the one that drops least stays.
+    order = np.lexsort((spare, -kind, role, node, key))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(node[order]) != 0) | (np.diff(role[order]) != 0)
+    order = order[fresh]
+    for i in range(0, len(order), 100_000):
+        at = order[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(kind[at]), pa.array(role[at].astype(np.int8)), pa.array(spare[at].astype(np.int32))], ["key", "hash", "kind", "role", "spare"])
+
+
+# --- verification -----------------------------------------------------------------------------
+
+
+def _linked(a: bytes, b: bytes, s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two texts are linked; near the threshold the words themselves are compared."""
+    same = len(np.intersect1d(s, t, assume_unique=True))
+    over = 100 * same - percent * (len(s) + len(t) - same)
+    if abs(over) <= 400:
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+        same = len(x & y)
+        over = 100 * same - percent * (len(x) + len(y) - same)
+    return over >= 0
 
 
 def _verified(percent: int):
     """Exact similarity of pairs (a, b); rows of one ``a`` follow one another, so its set is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[int | None, np.ndarray | None] = (None, None)
+        kept = None
         for batch in batches:
             links = []
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for i, (x, y) in enumerate(zip(utf8(batch.column("text_a")), utf8(batch.column("text_b")), strict=True)):
-                if kept[0] != a[i]:
-                    kept = a[i], shingles(normal(x))
-                s, t = kept[1], shingles(normal(y))
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                links.append(100 * same >= percent * (len(s) + len(t) - same))
+                if kept != a[i]:
+                    kept, first = a[i], normal(x)
+                    tokens = shingles(first)
+                second = normal(y)
+                links.append(_linked(first, second, tokens, shingles(second), percent))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root``: the smallest node of every connected component, for nodes with an edge.
 
-    Alternating large and small stars; every round is written to the shared folder. Only counts
-    and checksums reach the driver.
+    Alternating large and small stars; every round is written to the shared folder, in place of the
+    one before. Only counts and checksums reach the driver.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     before = None
@@ -238,8 +389,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         down = large.where("u <> v").distinct()
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(small_least, "u")
+        last = e
         e = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         e = written(e, "cc")
+        discard(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -249,23 +402,53 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = [_class_of(normal(text))[0] for text in utf8(batch.column("__text"))]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *batch.columns], ["node", "id", "text"])
-
-
 def _small(df: DataFrame, bytes_a_row: int = 48) -> DataFrame:
     """Marked for broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
-def _judge(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` of distinct pairs, by the whole sets."""
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out texts whose raw hash is a member's by chance."""
+    for batch in batches:
+        nodes = zip(batch.column("hash").to_pylist(), batch.column("check").to_pylist(), strict=True)
+        own = [_node(normal(text)) == node for text, node in zip(utf8(batch.column("text")), nodes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], ["node", "text"]).filter(pa.array(own, pa.bool_()))
+
+
+def _texts(source: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of ``nodes``: a text of each, read again by its raw hash."""
+    wanted = members.join(nodes, "node", "left_semi").select("node", "hash", "check", F.col("raw").alias("__raw"))
+    rows = source.join(_small(wanted, 64), "__raw").select("node", "hash", "check", F.col("__text").alias("text"))
+    return written(rows.mapInArrow(_own_texts, "node long, text string").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches leave a link possible: they differ in no more places than linked sets in tokens."""
+    bits = members.select("node", "n", "bits")
+    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("q")), "b")
+
+    def folded(x: str, to: str):
+        """The longer sketch's halves laid over one another: as if made with half the bits."""
+        half = F.size(to)
+        return F.when(F.size(x) == 2 * half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+
+    p, q = folded("p", "q"), folded("q", "p")
+    differ = F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, x: n + x)
+    most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    comparable = (F.size("p") <= 2 * F.size("q")) & (F.size("q") <= 2 * F.size("p"))
+    return both.where(~comparable | (differ * (100 + percent) <= most)).select("a", "b")
+
+
+def _judge(pairs: DataFrame, source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked`` of those distinct pairs that their sketches leave open, by the whole sets."""
+    pairs = written(_near(pairs, members, percent), "near")
+    texts = _texts(source, members, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    with_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(_small(pairs, 32), "b")
     with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return written(with_both.mapInArrow(_verified(percent), "a long, b long, linked boolean"), "judged")
+    judged = written(with_both.mapInArrow(_verified(percent), "a long, b long, linked boolean"), "judged")
+    discard(texts, pairs)
+    return judged
 
 
 def _fit(pairs: DataFrame, percent: int) -> DataFrame:
@@ -338,7 +521,7 @@ def _block_links(percent: int):
     return run
 
 
-def _family_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _family_links(rows: DataFrame, source: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between classes that meet in hot buckets.
 
     The documents of such buckets form families (components of common buckets); a family is cut
@@ -348,6 +531,7 @@ def _family_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     anchors = rows.groupBy("key").agg(F.min("node").alias("b"))
     families = components(rows.select("key", F.col("node").alias("a")).join(anchors, "key").select("a", "b"))
+    texts = _texts(source, members, rows.select("node").distinct())
     members = rows.select("node", "n", "comp").distinct().join(families.withColumnRenamed("root", "family"), "node")
     classes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
     members = members.join(classes, ["family", "comp"]).withColumn("pool", F.when(F.col("c") >= BLOCK_DOCS, F.col("comp")))
@@ -365,18 +549,10 @@ def _family_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(held.groupBy("x", "y").applyInArrow(_block_links(percent), "a long, b long"), "family-links")
 
 
-def _buckets(source: DataFrame, percent: int) -> DataFrame:
-    """``key, node, role, kind, spare`` of the buckets that hold two classes and a probe."""
-    keys = source.mapInArrow(_keyed(percent), "key long, node long, tag int")
-    w = Window.partitionBy("key")
-    kind, role, spare = F.col("tag").bitwiseAND(3), F.shiftright("tag", 2).bitwiseAND(3), F.shiftright("tag", 4)
-    shared = (
-        keys.select("key", "node", "tag", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.max(kind).over(w).alias("probed"))
-        .where("lo <> hi and probed > 0")
-        .select("key", "node", kind.cast("byte").alias("kind"), role.cast("byte").alias("role"), spare.alias("spare"))
-    )
-    # The same class may come from several tasks.
-    return written(shared.groupBy("key", "node", "role").agg(F.max("kind").alias("kind"), F.max("spare").alias("spare")), "buckets")
+def _buckets(source: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``key, hash, kind, role, spare`` of the buckets that hold two nodes and a probe."""
+    blocks = source.mapInArrow(_keyed(percent, parts), _BLOCK_SCHEMA)
+    return written(blocks.repartitionById(parts, "part").mapInArrow(_shared, "key long, hash long, kind byte, role byte, spare int"), "buckets")
 
 
 def _allotted(rows: DataFrame) -> DataFrame:
@@ -393,47 +569,85 @@ def _allotted(rows: DataFrame) -> DataFrame:
     return ranked.unionByName(rows.where("kind <> 1").select(*ranked.columns)).where("probe or entry")
 
 
-def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
+def _classed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """A row per document: id, raw (hash of the text), n, hash and check (null without words), root, component_id.
 
-    component_id: the smallest doc_id reachable by links of similarity >= ``percent`` / 100.
+    Rows of one class agree on root, or where that is null on hash and check.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within [50, 100]")
-    tune(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    described = written(source.mapInArrow(_describe, "id long, node long, check long, n long"), "sets")
-    clash = F.when(F.min("check") != F.max("check"), F.raise_error(F.lit("two word sequences share a 64-bit hash")).cast("long"))
-    orphan = F.lit(NO_ID) + F.pmod(F.col("node"), F.lit(1 << 32))
-    classes = described.where("node is not null").groupBy("node").agg(F.coalesce(clash, F.min("id")).alias("rep"), F.min("n").alias("n")).withColumn("first_id", F.coalesce("rep", orphan))
-
-    buckets = _buckets(source, percent)
-    members = _small(buckets.select("node").distinct().join(classes.select("node", "rep", F.col("n").cast("int").alias("n")), "node"))
-    texts = source.mapInArrow(_noded, "node long, id long, text string").join(members.drop("n"), "node").where("id <=> rep")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    rows = buckets.join(members.select("node", "n"), "node").withColumns({"probe": F.col("kind") > 0, "entry": F.col("role") == _OWN})
-
-    checked = _judge(_star(rows, 0, percent).distinct(), texts, percent)
+    spark = docs.sparkSession
+    tune(spark)
+    source = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__raw"))
+    described = written(source.mapInArrow(_describe, "id long, raw long, node long, check long, n long, bits array<long>"), "sets")
+    classes = described.where("node is not null").groupBy(F.col("node").alias("hash"), "check").agg(F.min("id").alias("rep"))
+
+    # A part of the keys fits a task, however many there are.
+    shingles_ = described.agg(F.sum("n")).first()[0] or 0
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles_ // PART_SHINGLES)), 1 << 22)
+    buckets = _buckets(source.drop("__raw"), percent, parts)
+    # Keys know 64 bits of a node. Should two nodes share them, each is taken to hold the keys of both.
+    met = _small(buckets.select("hash").distinct(), 16)
+    own = described.where("node is not null").withColumnRenamed("node", "hash").join(met, "hash", "left_semi")
+    own = own.groupBy("hash", "check").agg(F.min("raw").alias("raw"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+    members = written(own.withColumn("node", F.monotonically_increasing_id()), "members")
+    rows = buckets.join(_small(members.select("hash", "node", "n"), 48), "hash").drop("hash").withColumns({"probe": F.col("kind") > 0, "entry": F.col("role") == _OWN})
+
+    checked = _judge(_star(rows, 0, percent).distinct(), source, members, percent)
     roots = components(checked.where("linked"))
     # What is left: buckets whose members are in more than one class.
-    named = rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    named = rows.join(_small(roots, 32), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     left = _allotted(named.join(mixed, "key"))
     sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("probed")).where("lo <> hi and probed").select("key", "members")
     left = written(left.join(sizes, "key"), "left")
+    discard(buckets)
     cold, hot = left.where(f"members <= {HOT}"), left.where(f"members > {HOT}")
     links = checked.where("linked").select("a", "b")
     more = _rest(cold, percent).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(_judge(more, texts, percent).where("linked").select("a", "b"))
+    links = links.unionByName(_judge(more, source, members, percent).where("linked").select("a", "b"))
     if hot.limit(1).count():
-        links = links.unionByName(_family_links(hot, texts, percent))
+        links = links.unionByName(_family_links(hot, source, members, percent))
     roots = components(links)
+    discard(left, checked)
+
+    # The smallest id of each class; rows without an id name none.
+    linked = members.select("node", "hash", "check").join(roots, "node").join(classes, ["hash", "check"])
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = _small(linked.select("hash", "check", "root").join(smallest, "root").select("hash", "check", "root", "component_id"), 48)
+    firsts = classes.join(named, ["hash", "check"], "left").select("hash", "check", "root", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    out = described.select("id", "raw", "n", F.col("node").alias("hash"), "check").join(firsts, ["hash", "check"], "left")
+    return out.withColumn("component_id", F.when(F.col("hash").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
-    firsts = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = firsts.groupBy("root").agg(F.min("first_id").alias("first_id"))
-    named = firsts.select("node", "root").join(smallest, "root").select("node", F.when(F.col("first_id") < NO_ID, F.col("first_id")).alias("component_id"))
-    out = described.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+def similar_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    component_id: the smallest doc_id reachable by links of similarity >= ``percent`` / 100.
+    """
+    return _classed(docs, percent, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_class(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each class: that with the smallest id (an id before none), then text hash.
+
+    Rows equal in id and text are one document, and one of them stays, as it does of those without words.
+    """
+    classed = _classed(docs, percent, id_col, text_col)
+    zero = F.lit(0).cast("long")
+    told = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.coalesce(x, zero).alias("x"), F.coalesce(y, zero).alias("y"))
+    id_, root, hash_, check, raw = (F.col(c) for c in ("id", "root", "hash", "check", "raw"))
+    name = F.when(root.isNotNull(), told(0, root, zero)).when(hash_.isNotNull(), told(1, hash_, check)).when(id_.isNotNull(), told(2, id_, raw)).otherwise(told(3, raw, zero))
+    rows = classed.select(name.alias("class"), F.struct(F.col("id").isNull().alias("none"), "id", "raw").alias("row")).groupBy("class", "row").agg(F.count(F.lit(1)).alias("copies"))
+    picks = written(rows.groupBy("class").agg(F.min(F.struct("row", "copies")).alias("pick")).select(F.col("pick.row.id").alias("__pick_id"), F.col("pick.row.raw").alias("__pick_raw"), F.col("pick.copies").alias("__copies")), "picks")
+    same = F.col("id").eqNullSafe(F.col("__pick_id")) & (F.col("raw") == F.col("__pick_raw"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("raw"))
+    kept = keyed.join(_small(picks.where("__copies = 1"), 32), same, "left_semi")
+    # Of repeated rows the first one met; only they are shuffled for it.
+    again = picks.where("__copies > 1")
+    if again.limit(1).count():
+        kept = kept.unionByName(keyed.join(_small(again, 32), same, "left_semi").dropDuplicates(["id", "raw"]))
+    return kept.select("doc.*")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
