@@ -7,15 +7,20 @@ shards splits its bytes ``k // 2 : k - k // 2``, until every leaf reaches the ta
 refined until a single coordinate remains, and documents that tie on it are split by a hash, so
 that one source or one value may hold any share of the rows.
 
-Only the histograms (nodes x bins rows) and node extents reach the driver; their size depends on
-the number of shards, never on the rows. The text is read once, for its length and checksum; the
-passes of the tree read a metadata table written to the shared folder.
-
-Defined cases: a null text counts 0 bytes (size 8, checksum 0); null metadata takes the lowest
-coordinate; repeated rows and equal ids are separate rows; an empty table gives an empty result;
-other columns of the input are ignored, so clashing names do no harm. More shards than documents
-leave shards empty. Copies of a text are not kept together: a group may exceed a shard, and the
-law that holds is ``bytes``.
+Copies of a text stay together: they share the place of the one with the smallest coordinates, and
+their weight is that of all. Groups of more than 1 / :data:`WHOLE` of a shard's bytes cannot stay
+whole under the law that holds, ``bytes``; their copies are placed one by one. There are at most
+``shards * WHOLE`` such groups.
+
+Only the histograms (nodes x bins rows), node extents and those large groups reach the driver; their
+size depends on the number of shards, never on the rows. The text is read once, for its length and
+checksum; the passes of the tree read a metadata table written to the shared folder.
+
+Defined cases: a null text counts 0 bytes (size 8, checksum 0) and equals an empty one; null metadata
+takes the coordinate -1; integers of any width are coordinates (a dimension wider than 2^62 is laid out
+by quarters of its values); repeated rows and equal ids are separate rows of one group; an empty table gives an
+empty result; other columns of the input are ignored, so clashing names do no harm. More shards than
+documents leave shards empty.
 """
 
 from __future__ import annotations
@@ -27,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import BROADCAST_BYTES, discard, written
 
 BINS = 2048
 #: Ties on a coordinate are split by a hash of this many bits.
 TIE_BITS = 22
 CHUNKS = 64
+#: A group of copies stays together up to this part of a shard.
+WHOLE = 50
 
 
 @dataclass
@@ -93,6 +100,26 @@ def _refine(points: DataFrame, shards: int, low: dict, width: dict, goal: dict)
     return low, below
 
 
+def _placed_by_group(rows: DataFrame, shards: int, dims: list[str]) -> DataFrame:
+    """Rows with a weight ``__w`` and a tie hash: copies of a text all lie where the least of them does."""
+    key = ["__hash", "text_crc32", "size"]
+    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*dims)).alias("__at") if dims else F.lit(0).alias("__at")).where("__n > 1")
+    groups = written(groups.withColumn("__bytes", F.col("__n") * F.col("size")), "kd-groups")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large = [r["__hash"] for r in groups.where(F.col("__bytes") * (shards * WHOLE) > F.lit(total)).select("__hash").collect()]
+    kept = groups.where(~F.col("__hash").isin(large)) if large else groups
+    if kept.count() * 128 <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
+    # Rows of large groups take no part in the join: no key of it holds more than a part of a shard.
+    alone = F.col("__hash").isin(large) if large else F.lit(False)
+    joined = rows.where(~alone).join(kept, key, "left")
+    one = F.col("__n").isNull()
+    joined = joined.select(*key, "doc_id", *[F.when(one, F.col(d)).otherwise(F.col("__at")[d]).alias(d) for d in dims], F.when(one, F.xxhash64("doc_id", "text_crc32", *dims)).otherwise(F.xxhash64("__hash")).alias("__tie"))
+    if large:
+        joined = joined.unionByName(rows.where(alone).select(*key, "doc_id", *dims, F.xxhash64("doc_id", "text_crc32", *dims).alias("__tie")))
+    return joined.drop("__hash").withColumns({"__w": F.col("size"), "__tie": F.shiftrightunsigned("__tie", 64 - TIE_BITS)})
+
+
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", numeric: tuple[str, ...] = ("doc_id", "n_chars"), categorical: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row."""
     if shards < 1:
@@ -104,15 +131,22 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     # A categorical dimension is laid out by a hash, so that no dictionary is gathered.
     coords = [F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in numeric]
     coords += [F.coalesce(F.shiftrightunsigned(F.crc32(F.col(c).cast("string").cast("binary")), 32 - TIE_BITS), F.lit(-1)) for c in categorical]
-    points = docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("__hash"),
         *[c.alias(d) for c, d in zip(coords, dims, strict=True)],
-    ).withColumns({"__w": F.col("size"), "__tie": F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", *dims), 64 - TIE_BITS)})
-    points = written(points, "kd-points")
+    )
+    rows = written(rows, "kd-rows")
+    points = written(_placed_by_group(rows, shards, dims), "kd-points")
+    discard(rows)
 
     extent = [f(d).alias(f"{f.__name__}{d}") for d in dims for f in (F.min, F.max)]
+    ends = points.agg(*extent).first() if dims else {}
+    for d in dims:
+        if ends[f"max{d}"] is not None and ends[f"max{d}"] - ends[f"min{d}"] >= 1 << 62:
+            points = points.withColumn(d, F.shiftright(d, 2))
     root = Node(0, shards)
     spread: list[int] = []
     open_nodes = [root] if shards > 1 and dims else []
