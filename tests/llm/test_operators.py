@@ -28,7 +28,6 @@ def encoded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -47,20 +46,74 @@ def test_sharding(spark, edge, empty):
     assert sharding.assign_shards(empty, 3).count() == 0
     same = sharding.assign_shards(spark.createDataFrame([(1, "a")] * 400, "doc_id long, text string"), 4)
     assert same.count() == 400
+    wide = [(i * (1 << 58) - (1 << 63), f"text {i}") for i in range(32)] + [((1 << 63) - 1, "last"), (-5, "near"), (-4, "near too")]
+    got = sharding.assign_shards(spark.createDataFrame(wide, "doc_id long, text string"), 5).toPandas()
+    assert sorted(got.doc_id) == sorted(i for i, _ in wide) and got.shard.nunique() == 5
+
+
+def test_sharding_keeps_copies_together_and_equals_a_plain_tree(spark):
+    """Against a tree built in memory: cuts at the first point where the bytes reach the goal."""
+    rng = random.Random(3)
+    rows = [(10 * i, rng.choice([f"copy {j} " * 5 for j in range(60)]) if i % 4 == 0 else "y" * rng.randint(1, 200) + str(i), f"s{rng.randint(0, 5)}") for i in range(1200)]
+    rows += [(20 * i + 5, "hot copy", "hot") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shards = 6
+    out = {r["doc_id"]: r for r in sharding.assign_shards(docs, shards, numeric=("doc_id",), categorical=()).collect()}
+    total = sum(len(t) + 8 for _, t, _ in rows)
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t].append(i)
+        assert out[i]["size"] == len(t) + 8 and out[i]["text_crc32"] == zlib.crc32(t.encode())
+    large = {t for t, ids in groups.items() if len(ids) > 1 and len(ids) * (len(t) + 8) * shards * sharding.WHOLE > total}
+    assert "hot copy" in large and len({out[i]["shard"] for i in groups["hot copy"]}) > 1
+    assert all(len({out[i]["shard"] for i in ids}) == 1 for t, ids in groups.items() if t not in large)
+    assert sum(len(ids) > 1 for t, ids in groups.items() if t not in large) > 20
+    points = sorted((min(groups[t]) if t not in large else i, i, len(t) + 8) for i, t, _ in rows)
+
+    def split(points, first, n):
+        if n == 1:
+            return {i: first for _, i, _ in points}
+        goal, at, k = -(-sum(w for _, _, w in points) * (n // 2) // n), 0, 0
+        while at < goal:
+            place = points[k][0]
+            while k < len(points) and points[k][0] == place:
+                at, k = at + points[k][2], k + 1
+        return split(points[:k], first, n // 2) | split(points[k:], first + n // 2, n - n // 2)
+
+    assert {i: r["shard"] for i, r in out.items()} == split(points, 0, shards)
+
+
+def fitting(host, path, entries):
+    """The longest entry that fits, plainly."""
+    found = [(len(h), len(p), v, h + p) for h, p, v in entries if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(found)[2:] if found else None
 
 
 def test_url_filter(spark):
-    rows = [(1, "https://WWW.Example.com/en/x?q#f"), (2, "http://a.example.com/en/"), (3, "http://b.example.com/de"), (4, "http://x.net/es/1"), (5, None), (6, "no scheme"), (7, "http://evilexample.com/en/"), (8, "http://example.org/"), (9, "http://spam-farm.example.org/a"), (10, "http://"), (1, "https://WWW.Example.com/en/x?q#f")]
-    pages = spark.createDataFrame(rows, "page_id long, u string")
-    judged = urls.judge_urls(pages, urls.contract_entries(spark), "u").collect()
-    got = defaultdict(list)
-    for r in judged:
-        got[r["page_id"]].append((r["host"], r["path"], r["entry"], r["entry_verdict"]))
-    assert got[1] == [("www.example.com", "/en/x", "www.example.com/en/", "allow")] * 2
-    assert got[2][0][2:] == ("example.com/en/", "block") and got[3][0][2:] == ("com/", "allow") and got[4][0][2:] == ("net/es/", "block")
-    assert got[5] == [("", "", None, None)] == got[6] and got[7][0][2] == "com/" and got[8][0][2] is None and got[9][0][3] == "block"
-    none = urls.judge_urls(pages, urls.contract_entries(spark).where("false"), "u")
-    assert none.where("entry is not null").count() == 0 and none.count() == len(rows)
+    rng = random.Random(5)
+    part = lambda: rng.choice(["www", "a", "b", "example", "spam-farm", "bad", "x", ""])
+    urls_ = [".".join(part() for _ in range(rng.randint(1, 4))) + "." + rng.choice(["com", "net", "org", "COM", "example.org"]) + rng.choice(["", "/", "/en/", "/en/x", "/es/", "/fr", "/cracked/y", "?q=/en/", "#/"]) for _ in range(2000)]
+    rows = [(i, rng.choice(["http://", "https://", "://", ""]) + u, "taken", "taken") for i, u in enumerate(urls_)]
+    rows += [(9000, None, "h", "e"), (9001, "http://", "h", "e"), (9002, "http://" + "a." * 30000 + "com/", "h", "e"), (9003, "HTTP://WWW.Example.com/en/x?q#f", "h", "e"), (9003, "HTTP://WWW.Example.com/en/x?q#f", "h", "e")]
+    pages = spark.createDataFrame(rows, "page_id long, u string, host string, __entry string")
+    listed = spark.createDataFrame([("http://bad.com/",), ("http://Spam-Farm.example.org",), ("https://x.org/en/?q",), (None,)], "url string")
+    out = urls.filter_urls(pages, urls.contract_rules(spark), listed, "u")
+    assert out.columns == ["page_id", "u", "host", "__host", "__path", "__entry", "__verdict"]
+    blocked = [("bad.com", "/", "block"), ("spam-farm.example.org", "/", "block"), ("x.org", "/en/", "block")]
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        rest = (r["u"] or "").split("://", 1)[1] if "://" in (r["u"] or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate({i: i + 32 for i in range(65, 91)})
+        rule = fitting(host, path, urls.RULES)
+        want = (host, path, rule[1], rule[0]) if rule else (host, path, None, "block" if fitting(host, path, blocked) else "allow")
+        assert (r["__host"], r["__path"], r["__entry"], r["__verdict"]) == want
+    none = urls.filter_urls(pages, urls.contract_rules(spark).where("false"), listed.where("false"), "u")
+    assert none.where("__entry is not null or __verdict <> 'allow'").count() == 0 and none.count() == len(rows)
+    report = urls.filter_report(pages, urls.contract_rules(spark), "u").first()
+    assert report["probed"] >= report["possible"] >= report["listed"] > 0 and report["false_positives"] == report["possible"] - report["listed"]
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -114,6 +167,65 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, families, copies, wor
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_classes(docs)
 
 
+def test_join_links_by_words_not_by_regular_hashes(spark):
+    """Words of a and b by the parity of the place's bits, and their complements, share no shingle."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate({97: 98, 98: 97})
+    docs = [(i, " ".join([w] * 8)) for i, w in enumerate((one, other))] + [(2, one), (3, other)]
+    got = ngram_join.similar_classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_classes(docs)
+
+
+def test_shared_keys_equal_plain_buckets(monkeypatch):
+    """Keys dealt in blocks, hot ones apart, from several tasks: the buckets of two nodes and a probe, whole."""
+    monkeypatch.setattr(ngram_join, "HOT_KEYS", 6)
+    rng, parts = np.random.default_rng(4), 5
+    common = rng.integers(0, 1 << 63, 40)
+    entries, rows = [], defaultdict(set)
+    for node in range(1, 200):
+        keys = np.unique(np.concatenate((rng.choice(common, rng.integers(1, 12), replace=False), rng.integers(0, 1 << 63, 5))))
+        kinds = rng.integers(0, 3, len(keys)).astype(np.int8)
+        entries.append((keys, kinds, node, 1 + node % 2, node % 7))
+        low = keys.astype(np.uint64) & ngram_join._LOW
+        for key, kind in zip((ngram_join._place(keys.astype(np.uint64), parts) << 40) | low.astype(np.int64), kinds, strict=True):
+            rows[int(key)].add((node, int(kind), 1 + node % 2, node % 7))
+    tasks = [ngram_join._blocks(entries[:80], parts), ngram_join._blocks(entries[60:130], parts), ngram_join._blocks(entries[130:], parts)]
+    got = defaultdict(set)
+    for part in range(parts):
+        own = [batch.take([i for i, p in enumerate(batch.column("part").to_pylist()) if p == part]) for batch in tasks]
+        for batch in ngram_join._shared(iter(own)):
+            for r in batch.to_pylist():
+                got[r["key"]].add((r["hash"], r["kind"], r["role"], r["spare"]))
+    wanted = {k: v for k, v in rows.items() if len({n for n, *_ in v}) > 1 and any(kind for _, kind, *_ in v)}
+    assert {k: got[k] for k in wanted} == wanted
+    assert all(v <= rows[k] for k, v in got.items())
+    long = [(np.arange(70_000), np.ones(70_000, dtype=np.int8), 7, 1, 3)]
+    back = [ngram_join._unblock(*r.values()) for r in ngram_join._blocks(long, 1).to_pylist()]
+    assert len(back) == 1 and (np.sort(back[0][0]) == np.arange(70_000)).all() and (back[0][1] == 7).all()
+
+
+def test_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(6)
+    rows, pairs = [], []
+    for i in range(60):
+        s = np.unique(rng.integers(1, 1 << 60, int(rng.integers(1, 400))).astype(np.uint64))
+        t = np.unique(np.concatenate((s[rng.random(len(s)) > 0.15 * rng.random()], rng.integers(1, 1 << 60, int(rng.integers(0, 30))).astype(np.uint64))))
+        both = len(np.intersect1d(s, t))
+        rows += [(2 * i, len(s), ngram_join.sketch(s).tolist()), (2 * i + 1, len(t), ngram_join.sketch(t).tolist())]
+        pairs.append((2 * i, 2 * i + 1, bool(len(t)) and 100 * both >= 80 * (len(s) + len(t) - both)))
+    members = spark.createDataFrame(rows, "node long, n int, bits array<long>")
+    near = {r["a"] for r in ngram_join._near(spark.createDataFrame(pairs, "a long, b long, linked boolean").select("a", "b"), members, 80).collect()}
+    assert {a for a, _, linked in pairs if linked} <= near and len(near) < 60
+
+
+def test_one_of_each_class(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long, "x"), (7, long, "x"), (7, long, "x"), (9, long + " end", "x"), (None, long, "x"), (None, "no id at all", "x"), (None, "no id at all", "x"), (3, "other text", "x"), (3, "another text", "x"), (4, None, "x"), (4, None, "x"), (5, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    kept = sorted((tuple(r) for r in ngram_join.one_of_each_class(docs).collect()), key=str)
+    assert kept == sorted([(7, long, "x"), (None, "no id at all", "x"), (3, "other text", "x"), (3, "another text", "x"), (4, None, "x"), (5, " ", "x")], key=str)
+
+
 def test_join_edges(edge, empty):
     rows = [tuple(r) for r in ngram_join.similar_classes(edge).collect()]
     assert len(rows) == len(EDGE)
@@ -210,6 +322,19 @@ def test_packing(spark, edge, empty):
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
             assert r["length"] == 64 or r["piece"] == 0
     assert sum(r["length"] for r in docs[8]) == len(want[8]) + 1
+    placed = defaultdict(list)
+    for r in rows:
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in placed.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    whole = defaultdict(int)
+    for r in rows:
+        whole[r["doc_id"]] += r["length"]
+    assert all(whole[d] == (len(want[d]) + 1) * (2 if d == 5 else 1) for d in whole) and set(whole) == {i for i, _ in EDGE}
     assert packing.pack_documents(empty, tokens.default_tokenizer()).count() == 0
 
 
@@ -301,6 +426,18 @@ def test_ogg(edge, empty):
             crc = (crc << 1 ^ (0x04C11DB7 if crc & 0x80000000 else 0)) & 0xFFFFFFFF
     assert ogg.ogg_crc(b"OggS test") == crc
     rows = ogg.decode_media(ogg.encode_media(edge)).collect()
+    texts = dict(EDGE)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = ogg.encode(data)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        x = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        told = dict(p.split("=") for p in r["feature"].split(";"))
+        assert int(told["crossings"]) == crossings and abs(float(told["seconds"]) - len(payload) / 8000) < 1e-6
+        assert abs(float(told["mean"]) - sum(x) / len(x)) < 1e-3 and abs(float(told["rms"]) - (sum(v * v for v in x) / len(x)) ** 0.5) < 1e-3
     assert len(rows) == len(EDGE) and len({r["media_sha256"] for r in rows if r["doc_id"] in (4, 5)}) == 1
     assert ogg.decode_media(ogg.encode_media(empty)).count() == 0
 
@@ -310,7 +447,10 @@ def test_line_dedup(spark, edge, empty):
     docs = spark.createDataFrame([(i, f"word{chr(97 + i)} opens a line that is its own\n{foot.format(10 + i)}\n\nok") for i in range(6)] + [(9, None), (10, "")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in line_dedup.drop_templates(docs).collect()}
     assert out[0]["__n_dropped"] == 0
-    assert all(out[i]["__n_dropped"] == 1 and "Copyright" not in out[i]["text"] and out[i]["text"].endswith("\n\nok") for i in range(1, 6))
+    assert out[0]["text"].endswith("\n\nok")
+    assert all(out[i]["__n_dropped"] == 2 and "Copyright" not in out[i]["text"] and out[i]["text"].endswith("its own\n") for i in range(1, 6))
+    kept = line_dedup.drop_templates(docs, min_tokens=3).where("doc_id in (1, 2)").collect()
+    assert all(r["__n_dropped"] == 1 and r["text"].endswith("\n\nok") for r in kept)
     assert out[9]["text"] is None and out[9]["__n_lines"] == 0 and out[10]["text"] == "" and out[10]["__n_lines"] == 1
     # A variable field: the leaf's other positions are fixed.
     names = ["Ann", "Bob", "Cy", "Di", "Ed"]
@@ -330,23 +470,80 @@ def test_line_dedup_finds_templates_that_share_a_leaf(spark, other):
     assert sorted(t.split()[-1] for t in kept) == ["board", "forum", "place"]
 
 
-def test_akin_lines_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "STAR_ROUNDS", 2)
-    rng = random.Random(6)
-    rows = sorted({" ".join(["a", "b", "c", *(rng.choice("xyzuv") for _ in range(rng.choice((0, 1, 2, 5, 9))))]) for _ in range(250)})
-    root = list(range(len(rows)))
-    for i, x in enumerate(rows):
-        for j in range(i):
-            p, q = x.split(), rows[j].split()
-            if len(p) == len(q) and sum(u == v for u, v in zip(p, q)) >= 0.7 * len(p):
-                old, new = root[i], root[j]
-                root = [new if r == old else r for r in root]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r["doc_id"] for r in line_dedup.drop_templates(docs).where("__n_dropped = 1").collect()}
-    recurring = [{i for i, x in enumerate(root) if x == r} for r in set(root) if root.count(r) >= 3]
-    assert got <= set().union(*recurring)
-    # Each template keeps one line, and has three at least.
-    assert recurring and all(3 * len(lines - got) <= len(lines) for lines in recurring)
+def plain_templates(docs, min_docs=3, long_tokens=50, percent=70):
+    """The template tree in memory, for distinct ids: the texts left, and how many lines went."""
+    normal = lambda line: line.translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
+    holders = defaultdict(set)
+    for i, t in docs:
+        for line in (t.split("\n") if t is not None else []):
+            if normal(line):
+                holders[normal(line)].add(i)
+    need = lambda tok: 2 if len(tok) >= long_tokens else min_docs
+    leaves = defaultdict(list)
+    for body in holders:
+        tok = body.split(" ")
+        leaves[len(tok), *tok[:3]].append(body)
+    template = {}
+    for leaf, bodies in leaves.items():
+        if len(bodies) < 2 or sum(len(holders[b]) for b in bodies) < need([0] * leaf[0]) or len(set().union(*(holders[b] for b in bodies))) < 2:
+            continue
+        n, rest = leaf[0], max(leaf[0] - 3, 0)
+        differ = n - (n * percent + 99) // 100
+        count = 0 if differ >= rest else differ + 1
+        keys = {(b, j): (j, tuple(b.split(" ")[3 + j * rest // count : 3 + (j + 1) * rest // count]) if count else ()) for b in bodies for j in range(max(count, 1))}
+        for turn in range(line_dedup.ROUNDS):
+            by = defaultdict(list)
+            for (b, _), key in keys.items():
+                by[key].append(b)
+            groups = defaultdict(list)
+            for b in {b for b, _ in keys}:
+                options = [(sum(len(holders[x]) for x in by[key]), -key[0], key) for (c, _), key in keys.items() if c == b and len(by[key]) > 1]
+                if options:
+                    groups[max(options)[2]].append(b)
+            own, barren = {}, set()
+            for key, lines in groups.items():
+                docs_of = sum(len(holders[b]) for b in lines)
+                fixed = {}
+                for p in range(n):
+                    c = defaultdict(int)
+                    for b in lines:
+                        c[b.split(" ")[p]] += len(holders[b])
+                    top = [x for x, k in c.items() if 2 * k >= docs_of]
+                    if len(top) == 1:
+                        fixed[p] = top[0]
+                hit = [b for b in lines if len(lines) > 1 and all(b.split(" ")[p] == x for p, x in fixed.items()) and 100 * len(fixed) >= percent * n]
+                own |= {b: (leaf, key, turn) for b in hit}
+                if not hit:
+                    barren.add(key)
+            template |= own
+            keys = {k: v for k, v in keys.items() if k[0] not in own and v not in barren}
+    first = {}
+    families = defaultdict(set)
+    for b, t in template.items():
+        families[t] |= {(i, dict(docs)[i]) for i in holders[b]}
+    for b, ids in holders.items():
+        family = {i for i, _ in families[template[b]]} if b in template else set()
+        if b in template and len(family) >= need(b.split(" ")):
+            first[b] = min(family)
+        elif len(ids) >= need(b.split(" ")):
+            first[b] = min(ids)
+    out = {}
+    for i, t in docs:
+        lines = t.split("\n") if t is not None else []
+        kept = [x for x in lines if first.get(normal(x), i) == i]
+        out[i] = (None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_equals_a_tree_in_memory(spark, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(["a", "b", "c", *(rng.choice("xyzuv") for _ in range(rng.choice((0, 1, 2, 5, 9))))]) for _ in range(120)]
+    lines += ["ok", "", "  ", "See page 12\t", "See page 13\r", "no_spaces_here"] + [f"Posted by user n{i} on the main board" for i in range(9)] + [f"Posted by user f{i} in our old forum" for i in range(9)]
+    long = [" ".join(f"w{chr(97 + k % 26)}" if k != j else f"own{j}" for k in range(60)) for j in range(4)]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for i in range(90)] + [(500 + j, x) for j, x in enumerate(long)] + [(600, None), (601, "")]
+    got = {r["doc_id"]: (r["text"], r["__n_lines"], r["__n_dropped"]) for r in line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_templates(docs)
 
 
 def test_long_lines_recur_in_two_documents(spark):
