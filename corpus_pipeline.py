@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuscope.llm.common import written
 from corpuscope.llm.fm_index import contamination
 from corpuscope.llm.line_dedup import drop_templates
-from corpuscope.llm.ngram_join import similar_classes
+from corpuscope.llm.ngram_join import one_of_each_class
 from corpuscope.llm.packing import pack_documents
 from corpuscope.llm.quality import importance_sample
 from corpuscope.llm.tokens import default_tokenizer
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _cut(docs: DataFrame, changed) -> DataFrame:
     """Texts after a cut: their length anew; a text that the cut has left without words goes."""
-    left = docs.where(~(changed & (F.trim(F.coalesce("text", F.lit(""))) == "")))
+    left = docs.where(~(changed & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -39,11 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    classes = similar_classes(docs, 80)
-    kept = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each class of near-duplicates stays: the one with the smallest id; repeated rows are one."""
+    return one_of_each_class(docs.select(*COLUMNS), 80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
