@@ -73,9 +73,9 @@ def main(argv: list[str] | None = None) -> int:
 
         docs, guard = read(a.corpus), not a.allow_non_english
         if a.verb == "dedup":
-            found = dedup.find_near_duplicates(docs, a.threshold)
+            found = dedup.near_duplicates(docs, a.threshold)
             if a.out:
-                readers.write_jsonl(found, a.out)
+                readers.write_jsonl(found.rows, a.out)
             s = dedup.summary(found).first().asDict()
             print(json.dumps(s))
             return 0 if s["clusters"] else 1

@@ -4,16 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Side tables are broadcast only below this many bytes; beyond it, joins shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a local session gets a temporary folder, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="corpuscope-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: in ``spark.checkpoint.dir``, or a temporary folder in local runs."""
+    """``df`` checkpointed in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscope-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

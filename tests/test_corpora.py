@@ -71,7 +71,7 @@ def test_running_total(spark):
 
 
 def test_buckets_are_compared_to_the_last_member(spark, monkeypatch):
-    """One bucket with more anchors than rounds: texts that share a passage, and a copy of each."""
+    """One bucket of texts that share a passage, and two copies of each, in turns of any size."""
     monkeypatch.setattr(dedup, "BANDS", 1)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
@@ -79,13 +79,26 @@ def test_buckets_are_compared_to_the_last_member(spark, monkeypatch):
     part = dedup.signature(passage)[: dedup.ROWS].tolist()
     assert min(part) >= 0
     texts = []
-    while len(texts) < 5:
+    while len(texts) < 6:
         words = passage + [word() for _ in range(120)]
         if dedup.signature(words)[: dedup.ROWS].tolist() == part:
             texts.append(" ".join(words))
-    df = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
-    full, few = ({r["doc_id"]: tuple(r) for r in dedup.find_near_duplicates(df, most_rounds=n).collect()} for n in (60, 1))
-    assert few == full and len({r[1] for r in full.values()}) == 5 and all(full[i][1] == full[i + 5][1] is not None for i in range(5))
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    runs = [dedup.near_duplicates(df, block=n) for n in (100, 3, 1)]
+    first, *others = [({r["doc_id"]: tuple(r) for r in run.rows.collect()}, run.pairs_checked) for run in runs]
+    assert others == [first, first] and len({r[1] for r in first[0].values()}) == 6
+    assert all(first[0][i][1] == first[0][i % 6][1] is not None for i in range(18))
+
+
+def test_near_duplicates_of_repeated_and_named_rows(spark):
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    rows = [("a", long), ("a", long), (None, long), ("b", "short"), ("b", None)]
+    run = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"))
+    filled = round(int((dedup.signature(long.split()) >= 0).sum()) / 64, 4)
+    got = sorted((tuple(r) for r in run.rows.collect()), key=str)
+    assert got == sorted([("a", 0, 3, filled, False)] * 2 + [(None, 0, 3, filled, False), ("b", None, 1, 0.0, True), ("b", None, 1, 0.0, True)], key=str)
+    empty = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").where("false"))
+    assert empty.rows.count() == 0 and dedup.summary(empty).first()["compared"] == 0
 
 
 def test_reference_mode_scores_every_document(spark):
