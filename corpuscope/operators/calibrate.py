@@ -6,14 +6,17 @@ order statistics are read from running counts over them, never from a sorted arr
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import ALPHAS, FAMILIES, PRECISION, QUANTILES, SIGNALS, TWO_SIDED
+from ..constants import ALPHAS, FAMILIES, PRECISION, QUANTILES, TWO_SIDED
+from ..registry import catalog
 from . import fusion as fu
+from .components import cut
 
 MIN_DOCUMENTS, RECOMMENDED = 200, 1000
 
@@ -39,7 +42,7 @@ def half_of(doc_id: Column) -> Column:
 
 def human_table(profile: DataFrame) -> dict[str, list[tuple[float, int]]]:
     """Value counts of the artifact signals."""
-    long = fu.long_form(profile, fu.ARTIFACT_SIGNALS)
+    long = fu.long_form(profile, fu.artifact_signals())
     rows = long.groupBy("signal", F.bround("value", PRECISION).alias("v")).count().collect()
     out: dict[str, list[tuple[float, int]]] = {}
     for r in sorted(rows):
@@ -75,9 +78,7 @@ def _rates(high: dict, low: dict) -> list[Column]:
 
 def independent(ps: list[float]) -> float:
     """The chance that two or more fire if they were independent."""
-    none = one = 1.0
-    for p in ps:
-        none *= 1 - p
+    none = _product(1 - p for p in ps)
     one = sum(p * _product(1 - q for j, q in enumerate(ps) if j != i) for i, p in enumerate(ps))
     return 1 - none - one
 
@@ -89,21 +90,21 @@ def _product(xs) -> float:
     return out
 
 
-def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str | None = None, breakdown_by: str | None = None, source: str = "", min_documents: int = MIN_DOCUMENTS) -> CalibrationRun:
+def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str | None = None, breakdown_by: str | None = None, source: str = "", min_documents: int = MIN_DOCUMENTS, dropped: Iterable[str] = ()) -> CalibrationRun:
     """C2-C11 from a profile (see :mod:`corpuscope.plans.profile`)."""
-    rows = profile.where("analysable").withColumn("half", half_of(F.col("doc_id"))).persist()
-    n = rows.count()
+    rows = profile.where("analysable").withColumn("half", half_of(F.col("doc_id")))
+    halves = dict(rows.groupBy("half").count().collect())
+    n = sum(halves.values())
     notes = []
     if n < min_documents:
         raise CalibrationError(f"only {n} analysable documents; at least {min_documents} are needed")
     if n < RECOMMENDED:
         notes.append(f"{n} analysable documents, fewer than {RECOMMENDED}: thresholds are noisy")
-    human = human_table(rows.where("half = 'A'"))
-    stats = fu.reference_stats(rows, stratify_by)
-    z = fu.with_family_z(fu.with_artifact_z(fu.with_corpus_z(rows, stats, stratify_by), human)).persist()
-    halves = dict(z.groupBy("half").count().collect())
     if min(halves.get("A", 0), halves.get("B", 0)) < min_documents // 4:
         raise CalibrationError(f"the id split gives {halves}; both halves need {min_documents // 4}")
+    human = human_table(rows.where("half = 'A'"))
+    stats = fu.reference_stats(rows, stratify_by)
+    z = cut(fu.with_z(rows, stats, human, stratify_by, dropped))
     a = z.where("half = 'A'")
     sizes = a.agg(*[F.count(f"z_{f}").alias(f) for f in FAMILIES]).first().asDict()
     sizes = {f: c for f, c in sizes.items() if c}
@@ -111,7 +112,7 @@ def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str
     for f, c in sizes.items():
         tails = [alpha / 2 if TWO_SIDED[f] else alpha for alpha in ALPHAS]
         ranks[f] = fu.nearest_index(QUANTILES, c - 1) + [fu.high_index(t, c) for t in tails] + [fu.low_index(t, c) for t in tails]
-    long = a.unpivot(["doc_id"], [f"z_{f}" for f in sizes], "name", "v").select(F.expr("substr(name, 3)").alias("name"), "v")
+    long = a.unpivot([], [f"z_{f}" for f in sizes], "name", "v").select(F.expr("substr(name, 3)").alias("name"), "v")
     at = order_statistics(long, ranks)
 
     def thresholds(alpha: float) -> tuple[dict, dict]:
@@ -141,11 +142,11 @@ def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str
         evaluation |= {f"B_{r[field_]}": told(r) for r in evaluated(["half", field_]) if r["half"] == "B" and r[field_] is not None}
     cal = fu.Calibration(
         {f: round(t, 6) for f, t in high.items()}, {f: round(t, 6) for f, t in low.items()},
-        {f: [round(at[f][i], 6) for i in fu.nearest_index(QUANTILES, c - 1)] for f, c in sizes.items()}, [], human, sorted(SIGNALS),
+        {f: [round(at[f][i], 6) for i in fu.nearest_index(QUANTILES, c - 1)] for f, c in sizes.items()}, [], human, sorted(catalog()),
         {"baseline": source, "documents": halves, "likely_target": likely_target, "alpha": passing[-1], "evaluation": evaluation} | ({"stratify_by": stratify_by} if stratify_by else {}),
     )
     # The score's own null: the statistic over half A.
-    s = fu.with_statistic(fu.with_percentiles(z, cal), cal).persist()
+    s = cut(fu.with_statistic(fu.with_percentiles(z.select("half", *[f"z_{f}" for f in FAMILIES]), cal), cal).select("half", "statistic"))
     na = halves["A"]
     null = order_statistics(s.where("half = 'A'").select(F.lit("s").alias("name"), F.col("statistic").alias("v")), {"s": fu.nearest_index(QUANTILES, na - 1)})["s"]
     cal.score_null = [round(null[i], 6) for i in fu.nearest_index(QUANTILES, na - 1)]

@@ -20,12 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import FAMILIES, FISHER_MISSING, MAX_BINS, MIN_BIN, PRECISION, SIGNALS, TIERS, TWO_SIDED, Z_CAP
+from ..constants import FAMILIES, FISHER_MISSING, MAX_BINS, MIN_BIN, PRECISION, TIERS, TWO_SIDED, Z_CAP
+from ..registry import catalog
+from .components import BROADCAST_BYTES, cut
 from .stats import median_mad
 
 NORMAL = NormalDist()
-CORPUS_SIGNALS = [s for s, (f, _, _) in SIGNALS.items() if f != "artifact"]
-ARTIFACT_SIGNALS = [s for s, (f, _, _) in SIGNALS.items() if f == "artifact"]
+
+
+def corpus_signals() -> list[str]:
+    """Signals judged against the corpus."""
+    return [s for s, (f, _, _) in catalog().items() if f != "artifact"]
+
+
+def artifact_signals() -> list[str]:
+    """Signals judged against trusted text."""
+    return [s for s, (f, _, _) in catalog().items() if f == "artifact"]
 
 
 def z_of_tail(p: float) -> float:
@@ -57,8 +67,8 @@ def long_form(profile: DataFrame, columns: Iterable[str], group: str | None = No
 
 
 def reference_stats(profile: DataFrame, group: str | None = None) -> DataFrame:
-    """``grp, signal, bin, edge, median, mad, gmedian, gmad, n``; grp null: all rows. Persisted: bins x signals x groups rows."""
-    long = long_form(profile, CORPUS_SIGNALS, group).persist()
+    """``grp, signal, bin, edge, median, mad, gmedian, gmad, n``; grp null: all rows. Cut: bins x signals x groups rows."""
+    long = long_form(profile, corpus_signals(), group).persist()
     parts = []
     for grouped in [False] + ([True] if group else []):
         keys = ["signal"] + (["grp"] if grouped else [])
@@ -73,7 +83,9 @@ def reference_stats(profile: DataFrame, group: str | None = None) -> DataFrame:
         parts.append(part if grouped else part.withColumn("grp", F.lit(None).cast("string")))
     names = ["grp", "signal", "bin", "edge", "median", "mad", "gmedian", "gmad", "n"]
     out = parts[0].select(*names)
-    return (out.unionByName(parts[1].select(*names)) if len(parts) > 1 else out).persist()
+    out = cut(out.unionByName(parts[1].select(*names)) if len(parts) > 1 else out)
+    long.unpersist()
+    return out
 
 
 # --- calibration object ------------------------------------------------------------------------
@@ -103,12 +115,23 @@ class Calibration:
         return cls(**data)
 
 
+def tails(pairs: list[tuple[float, int]], direction: int):
+    """the mid-rank tail probability of values in the suspicious direction, half a count added."""
+    pairs = sorted(pairs)
+    known = np.array([v for v, _ in pairs], dtype=np.float64)
+    upto = np.concatenate(([0], np.cumsum([c for _, c in pairs])))
+
+    def look(values: np.ndarray) -> np.ndarray:
+        values = np.array([round(v, PRECISION) for v in values.tolist()])
+        below, through = upto[np.searchsorted(known, values, side="left")], upto[np.searchsorted(known, values, side="right")]
+        beyond = upto[-1] - through if direction > 0 else below
+        return (beyond + (through - below) / 2 + 0.5) / (upto[-1] + 1)
+
+    return look
+
+
 def tail_p(pairs: list[tuple[float, int]], value: float, direction: int) -> float:
-    """mid-rank tail probability in the suspicious direction, half a count added."""
-    value = round(value, PRECISION)
-    beyond = sum(c for v, c in pairs if (v - value) * direction > 0)
-    equal = sum(c for v, c in pairs if v == value)
-    return (beyond + equal / 2 + 0.5) / (sum(c for _, c in pairs) + 1)
+    return float(tails(pairs, direction)(np.array([value]))[0])
 
 
 def sidak(zs: list[float]) -> float:
@@ -146,33 +169,31 @@ def _located(edges: Column, medians: Column, mads: Column, gmad: Column, n_words
 def with_corpus_z(profile: DataFrame, stats: DataFrame, group: str | None = None, dropped: Iterable[str] = ()) -> DataFrame:
     """``z_<signal>`` of the corpus-normalised signals; null where there is no evidence."""
     per = F.sort_array(F.collect_list(F.struct("bin", "edge", "median", "mad")))
-    rows = stats.groupBy("grp", "signal").agg(per.alias("b"), F.first("gmad").alias("gmad")).collect()
-    whole = {r["signal"]: r for r in rows if r["grp"] is None}
-    own = [r for r in rows if r["grp"] is not None]
+    rows = stats.where("grp is null").groupBy("signal").agg(per.alias("b"), F.first("gmad").alias("gmad")).collect()
+    whole = {r["signal"]: r for r in rows}
     out = profile
-    if group and own:
-        wide: dict[str, dict] = {}
-        for r in own:
-            wide.setdefault(r["grp"], {})[r["signal"]] = ([float(b["edge"]) for b in r["b"]], [b["median"] for b in r["b"]], [b["mad"] for b in r["b"]], r["gmad"])
-        named = sorted({r["signal"] for r in own})
-        kind = "struct<e:array<double>,m:array<double>,s:array<double>,g:double>"
-        table = profile.sparkSession.createDataFrame([(g, *[v.get(s) for s in named]) for g, v in wide.items()], "__grp string, " + ", ".join(f"`__s_{s}` {kind}" for s in named))
-        out = out.join(F.broadcast(table), F.col(group).cast("string") == F.col("__grp"), "left")
+    if group:
+        # A row per group, its statistics by signal.
+        each = stats.where("grp is not null").groupBy("grp", "signal").agg(per.alias("b"), F.first("gmad").alias("gmad"))
+        told = F.struct(F.transform("b", lambda x: x["edge"].cast("double")).alias("e"), F.transform("b", lambda x: x["median"]).alias("m"), F.transform("b", lambda x: x["mad"]).alias("s"), F.col("gmad").alias("g"))
+        table = each.groupBy(F.col("grp").alias("__grp")).agg(F.map_from_entries(F.collect_list(F.struct("signal", told))).alias("__own"))
+        small = table.count() * len(whole) * MAX_BINS * 24 <= BROADCAST_BYTES
+        out = out.join(F.broadcast(table) if small else table, F.col(group).cast("string") == F.col("__grp"), "left")
     zs = {}
-    for s in CORPUS_SIGNALS:
+    for s in corpus_signals():
         if s in dropped or s not in whole or s not in profile.columns:
             zs[f"z_{s}"] = F.lit(None).cast("double")
             continue
         r = whole[s]
         med, scale = _located(_array(b["edge"] for b in r["b"]), _array(b["median"] for b in r["b"]), _array(b["mad"] for b in r["b"]), F.lit(float(r["gmad"])), F.col("n_words"))
-        if f"__s_{s}" in out.columns:
-            g = F.col(f"__s_{s}")
+        if group:
+            g = F.col("__own")[s]
             gm, gs = _located(g["e"], g["m"], g["s"], g["g"], F.col("n_words"))
             med, scale = F.when(g.isNotNull(), gm).otherwise(med), F.when(g.isNotNull(), gs).otherwise(scale)
-        z = F.greatest(F.lit(-Z_CAP), F.least(F.lit(Z_CAP), SIGNALS[s][1] * (F.col(s) - med) / scale))
+        z = F.greatest(F.lit(-Z_CAP), F.least(F.lit(Z_CAP), catalog()[s][1] * (F.col(s) - med) / scale))
         zs[f"z_{s}"] = F.when(F.col("analysable") & F.col(s).isNotNull() & (scale > 0), z)
     out = out.withColumns(zs)
-    return out.drop("__grp", *[c for c in out.columns if c.startswith("__s_")])
+    return out.drop("__grp", "__own")
 
 
 def with_artifact_z(profile: DataFrame, human: Mapping[str, list[tuple[float, int]]], dropped: Iterable[str] = ()) -> DataFrame:
@@ -180,16 +201,16 @@ def with_artifact_z(profile: DataFrame, human: Mapping[str, list[tuple[float, in
 
     Φ and its inverse are no built-ins; each distinct value is looked up once a batch.
     """
-    names = [s for s in ARTIFACT_SIGNALS if s in human and human[s] and s not in dropped]
+    names = [s for s in artifact_signals() if s in human and human[s] and s not in dropped]
     kind = ", ".join([*[f"{s} double" for s in names], "artifact double"])
-    tables = {s: sorted(human[s]) for s in names}
-    direction = {s: SIGNALS[s][1] for s in names}
+    look = {s: (human[s], catalog()[s][1]) for s in names}
 
     @F.pandas_udf(kind)
     def judged(*values: pd.Series) -> pd.DataFrame:
         zs = {}
         for s, v in zip(names, values, strict=True):
-            table = {x: z_of_tail(tail_p(tables[s], x, direction[s])) for x in v.dropna().unique()}
+            seen = v.dropna().unique()
+            table = {x: z_of_tail(p) for x, p in zip(seen.tolist(), tails(*look[s])(seen).tolist(), strict=True)} if len(seen) else {}
             zs[s] = v.map(table).astype("float64")
         out = pd.DataFrame(zs)
         n, top = out.notna().sum(axis=1), out.max(axis=1)
@@ -203,17 +224,17 @@ def with_artifact_z(profile: DataFrame, human: Mapping[str, list[tuple[float, in
         return out
 
     if not names:
-        return profile.withColumns({f"z_{s}": F.lit(None).cast("double") for s in [*ARTIFACT_SIGNALS, "artifact"]})
+        return profile.withColumns({f"z_{s}": F.lit(None).cast("double") for s in [*artifact_signals(), "artifact"]})
     out = profile.withColumn("__a", judged(*[F.when(F.col("analysable"), F.col(s)) for s in names]))
     real = lambda c: F.when(~F.isnan(c), c)
-    return out.withColumns({f"z_{s}": real(F.col(f"__a.{s}")) if s in names else F.lit(None).cast("double") for s in ARTIFACT_SIGNALS} | {"z_artifact": real(F.col("__a.artifact"))}).drop("__a")
+    return out.withColumns({f"z_{s}": real(F.col(f"__a.{s}")) if s in names else F.lit(None).cast("double") for s in artifact_signals()} | {"z_artifact": real(F.col("__a.artifact"))}).drop("__a")
 
 
 def with_family_z(profile: DataFrame) -> DataFrame:
     """F8, F9, F10's rounding: ``z_<family>`` at six places, and ``k_<family>`` signals behind it."""
     out = {}
     for f in FAMILIES:
-        zs = [F.col(f"z_{s}") for s, (fam, _, _) in SIGNALS.items() if fam == f]
+        zs = [F.col(f"z_{s}") for s, (fam, _, _) in catalog().items() if fam == f]
         n = sum((z.isNotNull().cast("int") for z in zs), F.lit(0))
         total = sum((F.coalesce(z, F.lit(0.0)) for z in zs), F.lit(0.0))
         out[f"k_{f}"] = n
@@ -252,7 +273,7 @@ def with_statistic(df: DataFrame, cal: Calibration) -> DataFrame:
 def evidence(cal: Calibration | None = None, most: int = 8) -> Column:
     """the strongest signals, with direction and basis."""
     items = []
-    for i, (s, (f, d, text)) in enumerate(SIGNALS.items()):
+    for i, (s, (f, d, text)) in enumerate(catalog().items()):
         z = F.col(f"z_{s}")
         raw = z * d
         strength = F.abs(z) if TWO_SIDED[f] else z
@@ -262,14 +283,23 @@ def evidence(cal: Calibration | None = None, most: int = 8) -> Column:
     return F.transform(ranked, lambda x: F.struct(*[x[c].alias(c) for c in ("signal", "family", "value", "z", "strength", "deviation", "basis", "description")]))
 
 
+def with_z(profile: DataFrame, stats: DataFrame, human: Mapping[str, list[tuple[float, int]]], group: str | None = None, dropped: Iterable[str] = ()) -> DataFrame:
+    """Z of signals and families."""
+    dropped = list(dropped)
+    return with_family_z(with_artifact_z(with_corpus_z(profile, stats, group, dropped), human, dropped))
+
+
 def fuse(profile: DataFrame, stats: DataFrame, cal: Calibration, group: str | None = None, dropped: Iterable[str] = ()) -> DataFrame:
     """F5-F15 for every row: tier, score, families, evidence."""
-    dropped = list(dropped)
-    out = with_family_z(with_artifact_z(with_corpus_z(profile, stats, group, dropped), cal.human, dropped))
-    out = with_statistic(with_percentiles(out, cal), cal)
+    return judged(with_z(profile, stats, cal.human, group, dropped), cal)
+
+
+def judged(rows: DataFrame, cal: Calibration) -> DataFrame:
+    """F10-F15 for rows that have their z."""
+    out = with_statistic(with_percentiles(rows, cal), cal)
     out = out.withColumns({f"side_{f}": side(f, cal) for f in FAMILIES})
     fired = F.filter(F.array(*[F.when(F.col(f"side_{f}").isNotNull(), F.lit(f)) for f in FAMILIES]), lambda x: x.isNotNull())
-    any_signal = F.coalesce(*[F.col(s) for s in SIGNALS]).isNotNull()
+    any_signal = F.coalesce(*[F.col(s) for s in catalog()]).isNotNull()
     scored = F.col("analysable") & any_signal
     n = F.size("families_fired")
     score = 100 * mid_rank_column(cal.score_null, F.col("statistic")) if cal.score_null else F.lit(None).cast("double")

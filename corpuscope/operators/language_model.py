@@ -7,8 +7,11 @@ distinct ones once with its multiplicity, so that the shuffled rows are distinct
 documents, and totals combine on the map side. History totals need no rows of their own: a history
 is followed as often as its n-gram occurs, less the documents that end on it. N-grams of a single
 document have nothing left after subtraction, so only those of two documents or more are joined
-back (a lossless pruning); the joins are plain equi-joins on evenly spread codes, whose frequent
-ones adaptive execution splits.
+back (a lossless pruning). Codes that many documents hold (at most :data:`COMMON` of them, by a
+threshold that follows from their counted numbers) go to the scoring tasks as they are, so that their
+rows are neither joined nor shuffled; the others are joined by code.
+
+Documents are told apart by an integer ``doc_id``; :func:`by_row` gives one to rows of any ids.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LM_DISCOUNT, MIN_COVERAGE_SENTENCES, MIN_COVERAGE_SPREAD
+from .components import spread
 from .signals import sentences_of, words_of
 
+#: Codes sent to every task, 32 bytes each.
+COMMON = 1 << 18
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BOS = np.uint64(0x1234567)
 _known: dict[str, int] = {}
@@ -68,6 +75,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(6)], names)
 
 
+class MismatchError(RuntimeError):
+    """Documents that are not among those that the model was fitted on."""
+
+
 @dataclass
 class LanguageModel:
     """Totals of a corpus; ``grams``: k, code, total, ends, n_docs, types (of continuations)."""
@@ -81,10 +92,27 @@ class LanguageModel:
     first_types: int  # distinct first words
     rows: DataFrame | None = None
 
+    def release(self) -> None:
+        """Give back what was kept for scoring."""
+        self.grams.unpersist()
+        if self.rows is not None:
+            self.rows.unpersist()
+
     def summary(self) -> dict:
         return {"order": 3, "discount": LM_DISCOUNT, "documents": self.n_documents, "tokens": self.n_tokens, "vocabulary": self.vocabulary, "entries": self.entries, "bigram_coverage": self.coverage}
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by their place in the input as ``doc_id``, with their text; and ``__row, doc_id``, their names."""
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    return spread(placed.select(F.col("__row").alias("doc_id"), "text")), placed.select("__row", "doc_id")
+
+
+def named(out: DataFrame, names: DataFrame) -> DataFrame:
+    """What was computed :func:`by_row`, under the documents' own ids."""
+    return out.withColumnRenamed("doc_id", "__row").join(names, "__row").drop("__row")
+
+
 def document_grams(docs: DataFrame) -> DataFrame:
     """The distinct n-grams of every document, with multiplicities."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit, "doc_id long, k byte, code long, past long, own int, ends int")
@@ -110,8 +138,8 @@ def fit(docs: DataFrame, keep_rows: bool = True) -> LanguageModel:
     return LanguageModel(grams, docs_with_words, n, s["v"] or 0, s["entries"], (s["hits"] or 0) / n if n else 0.0, first, rows if keep_rows else None)
 
 
-def _score(model: dict, loo: bool):
-    """Bits per word of documents with their looked-up totals."""
+def _score(model: dict, loo: bool, common: list[np.ndarray]):
+    """Bits per word of documents with their looked-up totals; ``common``: codes in order, totals, ends, types."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = LM_DISCOUNT
@@ -125,12 +153,14 @@ def _score(model: dict, loo: bool):
                     continue
                 c1, c2, c3, h2, h3 = codes(words)
                 values = found[i].values
-                if values is None:
-                    known, total, ends, types = (np.zeros(0, dtype=np.int64),) * 4
-                else:
-                    known, total, ends, types = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                    order = np.argsort(known)
-                    known, total, ends, types = known[order], total[order], ends[order], types[order]
+                told = [values.field(k).to_numpy(zero_copy_only=False) if values is not None else np.zeros(0, dtype=np.int64) for k in range(4)]
+                if len(common[0]):
+                    own = np.unique(np.concatenate((c1, c2, c3)).view(np.int64))
+                    at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+                    at = at[common[0][at] == own]
+                    told = [np.concatenate((x, c[at])) for x, c in zip(told, common, strict=True)]
+                order = np.argsort(told[0])
+                known, total, ends, types = (x[order] for x in told)
 
                 def look(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     """Index among the found codes, and whether it is one."""
@@ -147,6 +177,8 @@ def _score(model: dict, loo: bool):
                     if loo:
                         _, inv, own = own_counts(code)
                         n = np.where(ok, n - own[inv], 0)
+                        if len(n) and n.min() < 0:
+                            raise MismatchError("a document to score is not among those that the model was fitted on")
                     return n.astype(np.float64)
 
                 def history(past: np.ndarray, gram: np.ndarray, first_ctx: int, first_types: int, at_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +203,8 @@ def _score(model: dict, loo: bool):
                     at, ok = look(u)
                     vocabulary -= int((~ok | ((total[at] if len(known) else 0) == own)).sum())
                     n_tokens -= len(words)
+                if loo and (n_tokens < 0 or vocabulary < 0):
+                    raise MismatchError("a document to score has more words than the model's corpus")
                 p = (count(c1) + 1) / (n_tokens + vocabulary + 1)
                 start = np.arange(len(words))
                 for gram, past, begins in ((c2, h2, start == 0), (c3, h3, start == 0)):
@@ -202,22 +236,38 @@ def sentence_spread(text: str, bits: np.ndarray) -> float | None:
     return float(np.std(means)) if len(means) >= 4 else None
 
 
+def _common(known: DataFrame, n_documents: int) -> tuple[int, list[np.ndarray]]:
+    """The document count from which on codes are common, and those codes in order with their totals."""
+    least = [max(2, n_documents // part) for part in (2000, 200, 20)]
+    counted = known.agg(*[F.sum((F.col("n_docs") >= x).cast("long")).alias(f"c{i}") for i, x in enumerate(least)]).first()
+    for x, n in zip(least, counted, strict=True):
+        if n and n <= COMMON:
+            rows = known.where(F.col("n_docs") >= x).select("code", "total", "ends", "types").toArrow().sort_by("code")
+            return x, [c.to_numpy() for c in rows.columns]
+    return 0, [np.zeros(0, dtype=np.int64)] * 4
+
+
 def surprisal_signals(docs: DataFrame, model: LanguageModel, self_mode: bool = True, scored: DataFrame | None = None) -> DataFrame:
     """N2-N4, N10-N13 of every document with words: against the corpus without it, or a reference.
 
-    ``docs`` are scored; in self mode they are those (or some of those) that the model was fitted on.
-    Spread signals are withheld below the model's coverage gates.
+    ``docs`` are scored; in self mode they are those (or some of those) that the model was fitted on,
+    else a :class:`MismatchError` is raised (N6). Spread signals are withheld below the model's
+    coverage gates.
     """
     rows = model.rows if self_mode and model.rows is not None else document_grams(docs)
     keep = rows.select("doc_id", "code") if scored is None else rows.select("doc_id", "code").join(scored.select("doc_id"), "doc_id", "left_semi")
     known = model.grams.where("n_docs > 1") if self_mode else model.grams
+    least, common = _common(known, model.n_documents)
+    if least:
+        often = known.where(F.col("n_docs") >= least).select("code")
+        keep, known = keep.join(F.broadcast(often), "code", "left_anti"), known.where(F.col("n_docs") < least)
     found = keep.join(known.select("code", "total", "ends", "types"), "code").groupBy("doc_id").agg(F.collect_list(F.struct("code", "total", "ends", "types")).alias("found"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if scored is not None:
         texts = texts.join(scored.select("doc_id"), "doc_id", "left_semi")
     joined = texts.join(found, "doc_id", "left").select("doc_id", "text", "found")
     stats = {"n_tokens": model.n_tokens, "vocabulary": model.vocabulary, "n_documents": model.n_documents, "first_types": model.first_types}
-    out = joined.mapInArrow(_score(stats, self_mode), "doc_id long, mean_surprisal double, predictable_run_fraction double, surprisal_std double, sentence_surprisal_std double")
+    out = joined.mapInArrow(_score(stats, self_mode, common), "doc_id long, mean_surprisal double, predictable_run_fraction double, surprisal_std double, sentence_surprisal_std double")
     gate = lambda c, least: F.col(c) if model.coverage >= least else F.lit(None).cast("double")
     return out.select("doc_id", "mean_surprisal", "predictable_run_fraction", gate("surprisal_std", MIN_COVERAGE_SPREAD).alias("surprisal_std"), gate("sentence_surprisal_std", MIN_COVERAGE_SENTENCES).alias("sentence_surprisal_std"))
 

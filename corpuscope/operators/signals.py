@@ -9,6 +9,7 @@ A signal below its minimum size is null, never 0. Null texts count as empty.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..constants import ABBREVIATIONS, APOSTROPHES, ASSISTANT_ECHO, BOLD_LEAD, HEDGING, INFORMAL, LEXICON, LOWER_I, REPEATED_PUNCTUATION, STOPWORDS, SUFFIXES, TRANSITIONS
 from ..functions import text as T
@@ -72,7 +74,7 @@ def mtld_pass(words: Sequence[str], threshold: float = 0.72) -> float:
     factors, begun, types = 0.0, 0, set()
     for at, word in enumerate(words, 1):
         types.add(word)
-        if len(types) <= threshold * (at - begun) or len(types) / (at - begun) <= threshold:
+        if len(types) / (at - begun) <= threshold:
             factors, begun, types = factors + 1, at, set()
     rest = len(words) - begun
     if rest:
@@ -164,30 +166,51 @@ def reasoning(sentences: Sequence[str]) -> dict[str, float | None]:
     return {"step_novelty": sum(fresh) / len(fresh), "stalled_step_ratio": sum(f < 0.25 for f in fresh) / len(fresh)}
 
 
-def _pass(wanted: tuple[str, ...]):
+def _pass(wanted: tuple[str, ...], only: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = dict.fromkeys(wanted)
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            able = batch.column(only).to_pylist() if only else itertools.repeat(True)
+            for text, measured in zip(batch.column("text").to_pylist(), able):
+                if not measured:
+                    rows.append(none)
+                    continue
                 text = text or ""
                 row = distributional(text, words_of(text)) if wanted[0] in DISTRIBUTIONAL else {}
                 if wanted[-1] in REASONING:
                     row |= reasoning(sentences_of(text))
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[c] for r in rows], pa.float64()) for c in wanted]], ["doc_id", *wanted])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[c] for r in rows], pa.float64()) for c in wanted]], [*batch.schema.names, *wanted])
 
     return run
 
 
-def text_signals(docs: DataFrame, families: tuple[str, ...] = ("distributional", "reasoning")) -> DataFrame:
-    """doc_id and the distributional and reasoning signals."""
+def with_text_signals(docs: DataFrame, families: tuple[str, ...] = ("distributional", "reasoning"), only: str | None = None) -> DataFrame:
+    """``docs`` and the distributional and reasoning signals (M1-M12, R1-R4); null where the column ``only`` is false."""
     wanted = (DISTRIBUTIONAL if "distributional" in families else ()) + (REASONING if "reasoning" in families else ())
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_pass(wanted), f"doc_id {kind}, " + ", ".join(f"{c} double" for c in wanted))
+    schema = StructType([*docs.schema.fields, *[StructField(c, DoubleType()) for c in wanted]])
+    return docs.mapInArrow(_pass(wanted, only), schema)
+
+
+def text_signals(docs: DataFrame, families: tuple[str, ...] = ("distributional", "reasoning")) -> DataFrame:
+    """doc_id and the distributional and reasoning signals."""
+    return with_text_signals(docs.select("doc_id", "text"), families).drop("text")
 
 
 # --- artifacts (A1-A6), JVM-side ---------------------------------------------------------------
 
+#: For each phrase pattern, strings of which one stands in whatever it matches, case folded. They
+#: only spare the pattern where it cannot match.
+_ECHO_SIGNS = (
+    ("as an ai",), ("language model",), ("as of my ",), (" cut",), ("able to ",), ("assist with th", "help with th"), ("sorry",), ("i hope th",),
+    (" if you have any ", " if you need any "), ("great question",), ("certainly", "absolutely", "sure"), (" to help",),
+)
+_HEDGE_SIGNS = (
+    ("s important ", "s worth ", "s crucial ", "s essential ", "s vital "), ("s worth ",), ("said,",), ("keep in mind",), (" role",), ("in today's ",),
+    ("ing landscape", "ing world", "ing field"), (" range of", " array of", " variety of", " spectrum of"), ("in conclusion,", "in summary,", "to summari", "to sum up,"), ("navigat",), ("at the end of the day",), ("when it comes to",),
+)
+
 
 def _java(pattern: str, flags: str = "(?iumd)") -> str:
     """A pattern with Python's word bounds and white space, for Java."""
@@ -196,33 +219,44 @@ def _java(pattern: str, flags: str = "(?iumd)") -> str:
     return flags + pattern.replace(r"\b", bound).replace(r"\s", T.SPACE)
 
 
-def _count(text: Column, patterns: tuple[str, ...], flags: str = "(?iumd)") -> Column:
+def _count(text: Column, folded: Column, patterns: tuple[str, ...], signs: tuple[tuple[str, ...], ...]) -> Column:
     total = F.lit(0)
-    for p in patterns:
-        total = total + F.regexp_count(text, F.lit(_java(p, flags)))
+    for p, some in zip(patterns, signs, strict=True):
+        possible = F.lit(False)
+        for sign in some:
+            possible = possible | folded.contains(sign)
+        total = total + F.when(possible, F.regexp_count(text, F.lit(_java(p)))).otherwise(0)
     return total
 
 
-def artifact_columns(text: Column) -> dict[str, Column]:
-    """A1-A6 of a text column; null without words (A5: sentences, A6: five lines)."""
-    words = T.words(text)
-    n = F.size(words)
-    per_thousand = lambda c: F.when(n > 0, c * 1000.0 / n)
-    listed = lambda ws: F.size(F.filter(words, lambda w: w.isin(list(ws))))
+def with_artifacts(docs: DataFrame, able: Column | None = None, words: Column | None = None) -> DataFrame:
+    """``docs`` (with text) and A1-A6; null without words (A5: sentences, A6: five lines) or where not ``able``.
+
+    Words, sentences, lines and the folded text are columns of their own, found once.
+    """
+    text = F.col("text")
+    where = F.lit(True) if able is None else able
+    given = lambda c: F.when(where, c)
+    # Letters that fold to i, s and k in any case: the folded text only tells where a pattern may match.
+    folded = F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    parts = {"__folded": given(folded), "__words": given(T.words(text) if words is None else words), "__sentences": given(T.sentences(text)), "__lines": given(T.lines(text))}
+    found, n = F.col("__words"), F.size("__words")
+    per_thousand = lambda c: F.when(where & (n > 0), c * 1000.0 / n)
+    listed = lambda ws: F.size(F.filter(found, lambda w: w.isin(list(ws))))
     mixed = (F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(APOSTROPHES), F.lit(1)))) > 1).cast("int")
     noise = F.regexp_count(text, F.lit(_java(LOWER_I, ""))) + F.regexp_count(text, F.lit(REPEATED_PUNCTUATION)) + listed(INFORMAL) + mixed
-    sentences, lines = T.sentences(text), T.lines(text)
+    sentences, lines = F.col("__sentences"), F.col("__lines")
     opener = lambda s: F.lower(F.regexp_extract(s, r"^[ \t\"'*#>\-•]*([A-Za-z]+)", 1)).isin(TRANSITIONS)
     bold = _java(BOLD_LEAD, "")
-    return {
-        "assistant_echo_rate": per_thousand(_count(text, ASSISTANT_ECHO)),
-        "hedging_rate": per_thousand(_count(text, HEDGING)),
+    return docs.withColumns(parts).withColumns({
+        "assistant_echo_rate": per_thousand(_count(text, F.col("__folded"), ASSISTANT_ECHO, _ECHO_SIGNS)),
+        "hedging_rate": per_thousand(_count(text, F.col("__folded"), HEDGING, _HEDGE_SIGNS)),
         "llm_lexicon_rate": per_thousand(listed(LEXICON)),
         "human_noise_rate": per_thousand(noise),
-        "transition_rate": F.when((n > 0) & (F.size(sentences) > 0), F.size(F.filter(sentences, opener)) / F.size(sentences)),
-        "bold_lead_rate": F.when((n > 0) & (F.size(lines) >= 5), F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(bold)))) / F.size(lines)),
-    }
+        "transition_rate": F.when(where & (n > 0) & (F.size(sentences) > 0), F.size(F.filter(sentences, opener)) / F.size(sentences)),
+        "bold_lead_rate": F.when(where & (n > 0) & (F.size(lines) >= 5), F.size(F.filter(lines, lambda x: F.contains(x, F.lit("**")) & F.rlike(x, F.lit(bold)))) / F.size(lines)),
+    }).drop(*parts)
 
 
 def artifact_signals(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", *[c.alias(k) for k, c in artifact_columns(F.coalesce("text", F.lit(""))).items()])
+    return with_artifacts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("text")

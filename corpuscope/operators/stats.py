@@ -11,6 +11,13 @@ from ..functions import text as T
 from .components import running_total
 
 
+def percentile(df: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
+    """The q-th percentile (0 to 100) by linear interpolation as ``percentile``; 0 when empty."""
+    if not 0 <= q <= 100:
+        raise ValueError("q must be within [0, 100]")
+    return df.groupBy(*(by or [])).agg(F.coalesce(F.percentile(column, q / 100), F.lit(0.0)).alias("percentile"))
+
+
 def describe(df: DataFrame, column: str, by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """N, mean, median, stdev (population), min, p25, p75, p95, max; zeros when empty.
 
@@ -24,14 +31,29 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None, exact: boo
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
+def median(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """The median of each group as ``name``, and ``n``: exact, from value counts sorted by the engine.
+
+    Unlike a percentile aggregate it holds no group's values in memory: a sort that can spill tells the
+    middle places.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("n"))
+    placed = counts.withColumn("__end", F.sum("__c").over(upto)).join(sizes, by)
+    at = lambda rank: F.max(F.when((F.expr(rank) < F.col("__end")) & (F.expr(rank) >= F.col("__end") - F.col("__c")), F.col("__v")))
+    middle = placed.groupBy(*by).agg(at("(n - 1) div 2").alias("__lo"), at("n div 2").alias("__hi"), F.first("n").alias("n"))
+    return middle.select(*by, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * 0.5).alias(name), "n")
+
+
 def median_mad(df: DataFrame, by: list[str], column: str, few: bool = False) -> DataFrame:
     """F2: median, and 1.4826 times the median deviation from it, of each group.
 
     ``few``: the caller knows a bound of the groups, so that their medians may be broadcast.
     """
-    med = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"))
+    med = median(df, by, column, "median")
     away = df.join(F.broadcast(med) if few else med, by).withColumn("__away", F.abs(F.col(column) - F.col("median")))
-    return away.groupBy(*by).agg(F.first("median").alias("median"), (F.percentile("__away", 0.5) * MAD_SCALE).alias("mad"), F.count(F.lit(1)).alias("n"))
+    return med.join(median(away, by, "__away", "__mad").drop("n"), by).select(*by, "median", (F.col("__mad") * MAD_SCALE).alias("mad"), "n")
 
 
 def robust_z(value: Column, median: Column, scale: Column) -> Column:

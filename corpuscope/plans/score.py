@@ -47,7 +47,7 @@ def score_corpus(docs: DataFrame, cal: fu.Calibration, reference: DataFrame | No
     else:
         audited = profile(docs, families, guard=guard)
         normal = audited.rows
-    rows = audited.rows.persist()
+    rows = audited.rows
     stats = fu.reference_stats(normal if reference is not None else rows, stratify_by)
     scored = fu.fuse(rows, stats, cal, stratify_by, audited.dropped)
     from ..operators.stats import corpus_totals
@@ -65,9 +65,15 @@ def calibrate_corpus(docs: DataFrame, families: Iterable[str] = FAMILIES, guard:
     return calibrate(profile(docs, tuple(families), guard=guard).rows, **options)
 
 
+def self_calibrated(docs: DataFrame, min_documents: int = 40, families: Iterable[str] = FAMILIES, dropped: Iterable[str] = ()) -> tuple[DataFrame, CalibrationRun]:
+    """Scores of a corpus under a calibration on itself, and that calibration."""
+    p = profile(docs, tuple(families))
+    run = calibrate(p.rows, likely_target=0.05, min_documents=min_documents, dropped=[*p.dropped, *dropped])
+    # The calibration has z of all rows but those that are not scored.
+    rows = run.family_z.unionByName(p.rows.where("not coalesce(analysable, false)"), allowMissingColumns=True)
+    return fu.judged(rows, run.calibration), run
+
+
 def self_scored(docs: DataFrame, min_documents: int = 40) -> DataFrame:
     """Scores of a corpus under a calibration on itself."""
-    p = profile(docs)
-    rows = p.rows.persist()
-    run = calibrate(rows, likely_target=0.05, min_documents=min_documents)
-    return fu.fuse(rows, run.stats, run.calibration, dropped=p.dropped)
+    return self_calibrated(docs, min_documents)[0]
