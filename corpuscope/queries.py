@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .functions import language, text as T
 from .operators import calibrate as cal, dedup, fusion, language_model as lm, signals, stats
-from .operators.components import spread
+from .operators.components import shared_folder, spread
 from .plans.profile import views
-from .plans.score import self_scored
+from .plans.score import self_calibrated, self_scored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,9 +164,24 @@ def artifact_rates(spark, sf_dir):
     return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))).where("assistant_echo_rate is not null"), ["assistant_echo_rate", "hedging_rate", "llm_lexicon_rate"])
 
 
-@query()
+_HABITS = _SENT_SQL.replace(_SENT_SQL[_SENT_SQL.index("SELECT doc_id, CAST(len("):], "") + """, g AS (SELECT doc_id, list_filter(range(1, len(ps) + 1), lambda i: i = 1 OR NOT open[i - 1]) AS starts, ps FROM f),
+a AS (SELECT doc_id, len(starts) AS n, len(list_filter(starts, lambda i: lower(regexp_extract(ps[i], '^[ \\t"''*#>\\-•]*([A-Za-z]+)', 1)) IN WORDS)) AS k FROM g),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> '') AS ls, regexp_extract_all(text, 'LETTERS') AS ws FROM documents)
+SELECT l.doc_id, round(CASE WHEN len(ws) > 0 AND a.n > 0 THEN a.k / a.n END, 5) AS transition_rate,
+round(CASE WHEN len(ws) > 0 AND len(ls) >= 5 THEN len(list_filter(ls, lambda x: regexp_matches(x, 'BOLD'))) / len(ls) END, 5) AS bold_lead_rate FROM l JOIN a USING (doc_id)
+""".replace("\\\\", "\\").replace("WORDS", _in(C.TRANSITIONS)).replace("LETTERS", _WORD).replace("BOLD", C.BOLD_LEAD)
+
+
+@query(_HABITS)
 def artifact_habits(spark, sf_dir):
-    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["human_noise_rate", "transition_rate", "bold_lead_rate"])
+    """A5, A6."""
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["transition_rate", "bold_lead_rate"])
+
+
+@query()
+def human_noise(spark, sf_dir):
+    """A4: its pattern looks behind, which the other SQL cannot; held to examples in the tests."""
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["human_noise_rate"])
 
 
 _LM = _W + """, s AS (SELECT doc_id, ['<s>', '<s>'] || ws AS q FROM w WHERE len(ws) > 0),
@@ -180,23 +194,34 @@ e3 AS (SELECT doc_id, a, b, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM
 e2 AS (SELECT doc_id, b, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM o2 JOIN t2 USING (b, c) GROUP BY 1, 2),
 e1 AS (SELECT doc_id, sum(o) AS x, count(*) FILTER (WHERE o = t) AS y FROM o1 JOIN t1 USING (c) GROUP BY 1),
 k AS (SELECT sum(t) AS n, count(*) AS v FROM t1),
-p AS (SELECT d.doc_id, d.m, (t1.t - o1.o + 1) / (k.n - e1.x + k.v - e1.y + 1) AS p1, t2.t - o2.o AS c2, h2.x - e2.x AS x2, h2.y - e2.y AS y2, t3.t - o3.o AS c3, h3.x - e3.x AS x3, h3.y - e3.y AS y3
+p AS (SELECT d.doc_id, d.a, d.b, d.c, d.m, (t1.t - o1.o + 1) / (k.n - e1.x + k.v - e1.y + 1) AS p1, t2.t - o2.o AS c2, h2.x - e2.x AS x2, h2.y - e2.y AS y2, t3.t - o3.o AS c3, h3.x - e3.x AS x3, h3.y - e3.y AS y3
   FROM d JOIN o3 USING (doc_id, a, b, c) JOIN o2 USING (doc_id, b, c) JOIN o1 USING (doc_id, c) JOIN t3 USING (a, b, c) JOIN t2 USING (b, c) JOIN t1 USING (c)
   JOIN h3 USING (a, b) JOIN h2 USING (b) JOIN e3 USING (doc_id, a, b) JOIN e2 USING (doc_id, b) JOIN e1 USING (doc_id), k),
 q AS (SELECT *, CASE WHEN x2 > 0 THEN greatest(c2 - 0.75, 0) / x2 + 0.75 * y2 / x2 * p1 ELSE p1 END AS p2 FROM p),
 r AS (SELECT *, CASE WHEN x3 > 0 THEN greatest(c3 - 0.75, 0) / x3 + 0.75 * y3 / x3 * p2 ELSE p2 END AS p3 FROM q)"""
 
 
+def _bits(spark, sf_dir):
+    texts, names = lm.by_row(_docs(spark, sf_dir))
+    return lm.named(lm.surprisal_signals(texts, lm.fit(texts)), names)
+
+
 @query(_LM + " SELECT doc_id, round(sum(-log2(p3) * m) / sum(m), 5) AS mean_surprisal FROM r GROUP BY 1")
 def surprisal(spark, sf_dir):
-    docs = spread(_docs(spark, sf_dir))
-    return _rounded(lm.surprisal_signals(docs, lm.fit(docs)).where("mean_surprisal is not null"), ["mean_surprisal"])
+    return _rounded(_bits(spark, sf_dir).where("mean_surprisal is not null"), ["mean_surprisal"])
 
 
-@query()
+_RUNS = _LM + """, spot AS (SELECT doc_id, i, q[i - 2] AS a, q[i - 1] AS b, q[i] AS c FROM (SELECT doc_id, q, unnest(range(3, len(q) + 1)) AS i FROM s)),
+bit AS (SELECT spot.doc_id, i, -log2(p3) AS x FROM spot JOIN r USING (doc_id, a, b, c)),
+isle AS (SELECT doc_id, x, i - row_number() OVER (PARTITION BY doc_id, x < 1 ORDER BY i) AS k FROM bit),
+run AS (SELECT doc_id, count(*) AS n FROM isle WHERE x < 1 GROUP BY doc_id, k HAVING count(*) >= 5)"""
+
+
+@query(_RUNS + """ SELECT doc_id, round(coalesce((SELECT sum(n) FROM run WHERE run.doc_id = w.doc_id), 0) / len(ws), 5) AS predictable_run_fraction,
+CAST(NULL AS DOUBLE) AS surprisal_std, CAST(NULL AS DOUBLE) AS sentence_surprisal_std FROM w WHERE len(ws) > 0""")
 def surprisal_runs(spark, sf_dir):
-    docs = spread(_docs(spark, sf_dir))
-    return _rounded(lm.surprisal_signals(docs, lm.fit(docs)), ["predictable_run_fraction", "surprisal_std", "sentence_surprisal_std"])
+    """N11; N12 and N13 are withheld below their coverage, which this corpus does not reach."""
+    return _rounded(_bits(spark, sf_dir).where("mean_surprisal is not null"), ["predictable_run_fraction", "surprisal_std", "sentence_surprisal_std"])
 
 
 @query(_LM.split(",\ne1 AS")[0] + """ SELECT CAST((SELECT count(*) FROM s) AS BIGINT) AS documents, CAST((SELECT sum(t) FROM t1) AS BIGINT) AS tokens, (SELECT count(*) FROM t1) AS vocabulary,
@@ -206,13 +231,27 @@ def language_model_summary(spark, sf_dir):
     return spark.createDataFrame([(s["documents"], s["tokens"], s["vocabulary"], round(s["bigram_coverage"], 6))], "documents long, tokens long, vocabulary long, bigram_coverage double")
 
 
-@query()
+_REF = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), f AS (SELECT {_WORDS} AS ws FROM conversations),
+fs AS (SELECT ['<s>', '<s>'] || ws AS q FROM f WHERE len(ws) > 0), s AS (SELECT doc_id, ['<s>', '<s>'] || ws AS q FROM w WHERE len(ws) > 0),
+fg AS (SELECT q[i - 2] AS a, q[i - 1] AS b, q[i] AS c FROM (SELECT q, unnest(range(3, len(q) + 1)) AS i FROM fs)),
+d AS (SELECT doc_id, a, b, c, count(*) AS m FROM (SELECT doc_id, q[i - 2] AS a, q[i - 1] AS b, q[i] AS c FROM (SELECT doc_id, q, unnest(range(3, len(q) + 1)) AS i FROM s)) GROUP BY ALL),
+t3 AS (SELECT a, b, c, count(*) AS t FROM fg GROUP BY ALL), t2 AS (SELECT b, c, count(*) AS t FROM fg GROUP BY ALL), t1 AS (SELECT c, count(*) AS t FROM fg GROUP BY ALL),
+h3 AS (SELECT a, b, sum(t) AS x, count(*) AS y FROM t3 GROUP BY ALL), h2 AS (SELECT b, sum(t) AS x, count(*) AS y FROM t2 GROUP BY ALL), k AS (SELECT sum(t) AS n, count(*) AS v FROM t1),
+p AS (SELECT d.*, (coalesce(t1.t, 0) + 1) / (k.n + k.v + 1) AS p1, coalesce(t2.t, 0) AS c2, h2.x AS x2, h2.y AS y2, coalesce(t3.t, 0) AS c3, h3.x AS x3, h3.y AS y3
+  FROM d LEFT JOIN t3 USING (a, b, c) LEFT JOIN t2 ON t2.b = d.b AND t2.c = d.c LEFT JOIN t1 ON t1.c = d.c LEFT JOIN h3 ON h3.a = d.a AND h3.b = d.b LEFT JOIN h2 ON h2.b = d.b, k),
+q AS (SELECT *, CASE WHEN x2 > 0 THEN greatest(c2 - 0.75, 0) / x2 + 0.75 * y2 / x2 * p1 ELSE p1 END AS p2 FROM p),
+r AS (SELECT *, CASE WHEN x3 > 0 THEN greatest(c3 - 0.75, 0) / x3 + 0.75 * y3 / x3 * p2 ELSE p2 END AS p3 FROM q),
+o AS (SELECT doc_id, round(sum(-log2(p3) * m) / sum(m), 5) AS mean_surprisal FROM r GROUP BY 1)
+SELECT w.doc_id, o.mean_surprisal, (SELECT round(sum(m) FILTER (WHERE c2 > 0) / sum(m), 6) FROM r) AS audited_coverage FROM w LEFT JOIN o USING (doc_id)"""
+
+
+@query(_REF)
 def reference_mode(spark, sf_dir):
     """All documents against a model of all turns of the conversations."""
-    docs = spread(_docs(spark, sf_dir))
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
-    model = lm.fit(spread(turns))
-    return _rounded(lm.surprisal_signals(docs, model, False), ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(docs, model), 6)))
+    docs, names = lm.by_row(_docs(spark, sf_dir))
+    model = lm.fit(lm.by_row(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.col("conv_id")))[0])
+    out = lm.named(lm.surprisal_signals(docs, model, False), names)
+    return _rounded(out, ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(docs, model), 6)))
 
 
 @query(_W + f" SELECT count(*) AS n_documents, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NULL) AS n_analysable, count(*) FILTER (WHERE len(ws) >= 50 AND g.reason IS NOT NULL) AS n_non_english, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM w JOIN ({_GUARD}) g USING (doc_id)")
@@ -268,21 +307,135 @@ def jsonl_round_trip(spark, sf_dir):
     """Written as JSON lines and read back, with a least length."""
     from .sources.readers import read_jsonl, write_jsonl
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = os.path.join(base, f"jsonl-{os.urandom(8).hex()}")
+    path = f"{shared_folder(spark).rstrip('/')}/jsonl-{os.urandom(8).hex()}"
     write_jsonl(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "lang", F.col("source").alias("src"), "n_chars"), path)
     m = F.col("meta")
     return read_jsonl(spark, path, min_chars=200).select(F.col("doc_id").cast("long").alias("doc_id"), m["lang"].alias("lang"), m["src"].alias("source"), m["n_chars"].cast("long").alias("n_chars"), "text")
 
 
-@query()
+_DUP = _W.replace("WITH", "WITH RECURSIVE") + """, g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) >= 5),
+long AS (SELECT doc_id FROM g GROUP BY 1 HAVING count(*) >= 10),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 16) AS UBIGINT) AS h FROM g SEMI JOIN long USING (doc_id)),
+m AS (SELECT doc_id, CAST(h % 64 AS INT) AS bin, min(h // 64) AS v FROM h GROUP BY 1, 2),
+b AS (SELECT doc_id, bin // 4 AS band, list(v ORDER BY bin) AS part FROM m GROUP BY 1, 2 HAVING count(*) = 4),
+k AS (SELECT doc_id, dense_rank() OVER (ORDER BY band, part) AS key, count(*) OVER (PARTITION BY band, part) AS n FROM b),
+pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.key = y.key AND x.doc_id < y.doc_id),
+sim AS (SELECT a, b, count(*) / 64 AS s FROM pairs JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b AND x.bin = y.bin AND x.v = y.v GROUP BY 1, 2 HAVING count(*) / 64 >= 0.8),
+r AS (SELECT key, doc_id, min(doc_id) OVER (PARTITION BY key) AS a FROM k WHERE n > 1
+  UNION ALL SELECT key, doc_id, min(doc_id) OVER (PARTITION BY key) FROM (SELECT r.key, r.doc_id FROM r WHERE r.doc_id <> r.a AND NOT EXISTS (SELECT 1 FROM sim WHERE sim.a = r.a AND sim.b = r.doc_id))),
+e AS (SELECT DISTINCT r.a, r.doc_id AS b, s FROM r JOIN sim ON sim.a = r.a AND sim.b = r.doc_id),
+e2 AS (SELECT a, b, s FROM e UNION ALL SELECT b, a, s FROM e),
+c AS (SELECT DISTINCT a AS x, a AS y FROM e2 UNION SELECT c.x, e2.b FROM c JOIN e2 ON c.y = e2.a),
+t AS (SELECT x AS doc_id, min(y) AS root FROM c GROUP BY 1),
+z AS (SELECT root, count(*) AS cluster_size, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS cluster FROM t GROUP BY 1),
+best AS (SELECT a AS doc_id, round(max(s), 4) AS max_similarity FROM e2 GROUP BY 1),
+d AS (SELECT w.doc_id, CAST(z.cluster AS INT) AS cluster, coalesce(z.cluster_size, 1) AS cluster_size, coalesce(max_similarity, 0) AS max_similarity, long.doc_id IS NULL AS short
+  FROM w LEFT JOIN long USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN z USING (root) LEFT JOIN best USING (doc_id))"""
+
+
+@query(_DUP + " SELECT doc_id, coalesce(cluster, -1) AS cluster, cluster_size, max_similarity, short FROM d")
 def near_duplicates(spark, sf_dir):
-    return dedup.find_near_duplicates(_docs(spark, sf_dir))
+    return dedup.find_near_duplicates(_docs(spark, sf_dir)).withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-@query()
+@query(_DUP + """ SELECT count(*) FILTER (WHERE NOT short) AS compared, count(*) FILTER (WHERE short) AS short, count(DISTINCT cluster) AS clusters, count(cluster) AS in_clusters,
+count(cluster) - count(DISTINCT cluster) AS removable, (SELECT count(*) FROM r WHERE doc_id <> a) AS pairs_checked FROM d""")
 def near_duplicate_summary(spark, sf_dir):
-    return dedup.summary(dedup.find_near_duplicates(_docs(spark, sf_dir)))
+    return dedup.summary(dedup.near_duplicates(_docs(spark, sf_dir)))
+
+
+# --- fusion and calibration in SQL: the signals that SQL can make of two two-sided families ---------
+
+_FUSED_SIGNALS = {"unigram_entropy": -1, "normalized_entropy": -1, "hapax_ratio": -1, "yules_k": 1, "repetition_4gram": 1, "mean_surprisal": -1}
+_FUSED = _LM + f""", guard AS ({_GUARD}), cw AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS x FROM w) GROUP BY 1, 2),
+ms AS (SELECT doc_id, sum(-log2(p3) * m) / sum(m) AS mean_surprisal FROM r GROUP BY 1),
+dist AS (SELECT cw.doc_id, -sum(n / len(ws) * log2(n / len(ws))) AS h, count(*) AS v, count(*) FILTER (WHERE n = 1) AS v1, sum(n * n) AS s2, any_value(len(ws)) AS nw FROM cw JOIN w USING (doc_id) GROUP BY 1),
+sg AS (SELECT w.doc_id, nw AS n_words, h AS unigram_entropy, CASE WHEN v > 1 THEN h / log2(v) ELSE 0 END AS normalized_entropy, v1 / v AS hapax_ratio, 1e4 * (s2 - nw) / (nw * nw) AS yules_k,
+  CASE WHEN len(tk) >= 40 THEN 1 - len(list_distinct(list_transform(range(1, len(tk) - 2), lambda i: array_to_string(tk[i:i + 3], chr(1))))) / (len(tk) - 3) END AS repetition_4gram, mean_surprisal
+  FROM w JOIN dist USING (doc_id) JOIN ms USING (doc_id) JOIN guard USING (doc_id) WHERE nw >= 50 AND reason IS NULL),
+lg AS ({" UNION ALL ".join(f"SELECT doc_id, n_words, {i} AS sid, '{x}' AS signal, CAST({d} AS DOUBLE) AS dir, '{'surprisal' if x == 'mean_surprisal' else 'distributional'}' AS family, CAST({x} AS DOUBLE) AS value FROM sg WHERE {x} IS NOT NULL" for i, (x, d) in enumerate(_FUSED_SIGNALS.items()))}),
+oo AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY n_words, doc_id) AS rk, count(*) OVER (PARTITION BY signal) AS n FROM lg),
+bn AS (SELECT *, (rk * greatest(1, least(20, n // 50)) - 1) // n AS bin FROM oo),
+ed AS (SELECT signal, bin, max(n_words) AS edge, quantile_cont(value, 0.5) AS med, mad(value) * 1.4826 AS mad FROM bn GROUP BY 1, 2),
+gl AS (SELECT signal, mad(value) * 1.4826 AS gmad, max(bin) AS last FROM bn GROUP BY 1),
+pk AS (SELECT lg.doc_id, lg.signal, coalesce(min(bin) FILTER (WHERE edge >= n_words), any_value(last)) AS bin FROM lg JOIN ed USING (signal) JOIN gl USING (signal) GROUP BY 1, 2),
+zz AS (SELECT lg.doc_id, lg.sid, lg.signal, lg.family, greatest(-6, least(6, dir * (value - med) / CASE WHEN ed.mad > 0 THEN ed.mad ELSE gmad END)) AS z
+  FROM lg JOIN pk USING (doc_id, signal) JOIN ed ON ed.signal = lg.signal AND ed.bin = pk.bin JOIN gl ON gl.signal = lg.signal WHERE CASE WHEN ed.mad > 0 THEN ed.mad ELSE gmad END > 0),
+fz AS (SELECT doc_id, family, round_even(sum(z) / count(*), 6) AS z, substr(sha1(CAST(doc_id AS VARCHAR)), 40, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS in_a FROM zz GROUP BY 1, 2),
+ra AS (SELECT family, z, row_number() OVER (PARTITION BY family ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY family) AS n FROM fz WHERE in_a),
+al AS (SELECT unnest([{", ".join(map(str, C.ALPHAS))}]::DOUBLE[]) AS alpha),
+th AS (SELECT alpha, family, max(z) FILTER (WHERE i = greatest(0, ceil((1 - alpha / 2) * n) - 1)) AS high, max(z) FILTER (WHERE i = least(n - 1, floor(alpha / 2 * n))) AS low FROM ra, al GROUP BY 1, 2),
+na AS (SELECT alpha, doc_id, count(*) FILTER (WHERE z > high OR z < low) AS k FROM fz JOIN th USING (family) WHERE in_a GROUP BY 1, 2),
+ch AS (SELECT max(alpha) AS alpha FROM (SELECT alpha FROM na GROUP BY 1 HAVING avg(CASE WHEN k >= 2 THEN 1.0 ELSE 0 END) <= 0.05)),
+ct AS (SELECT family, high, low, alpha FROM th JOIN ch USING (alpha)),
+qi AS (SELECT unnest(range(0, 201)) AS q),
+nl AS (SELECT family, q, z AS v FROM ra JOIN qi ON i = CAST(round_even(q * (n - 1) / 200, 0) AS BIGINT)),
+pc AS (SELECT fz.doc_id, fz.family, any_value(fz.in_a) AS in_a, (count(*) FILTER (WHERE v < z) + count(*) FILTER (WHERE v <= z)) / 402 AS p FROM fz JOIN nl USING (family) GROUP BY 1, 2),
+stt AS (SELECT doc_id, any_value(in_a) AS in_a, round_even(4.0 + sum(-2 * ln(greatest(2 * least(p, 1 - p), 0.5 / 201))) + 2.0 * (2 - count(*)), 6) AS x FROM pc GROUP BY 1),
+sa AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM stt WHERE in_a),
+sn AS (SELECT q, x AS v FROM sa JOIN qi ON i = CAST(round_even(q * (n - 1) / 200, 0) AS BIGINT)),
+sc AS (SELECT doc_id, round_even(100 * (count(*) FILTER (WHERE v < x) + count(*) FILTER (WHERE v <= x)) / 402, 2) AS score FROM stt, sn GROUP BY 1),
+fi AS (SELECT doc_id, count(*) FILTER (WHERE z > high OR z < low) AS k, string_agg(family, ',' ORDER BY family) FILTER (WHERE z > high OR z < low) AS fired FROM fz JOIN ct USING (family) GROUP BY 1),
+st AS (SELECT doc_id, arg_max(signal, abs(z) * 1000 - sid / 1e6) AS strongest FROM zz GROUP BY 1),
+fused AS (SELECT w.doc_id, d.lang, CASE WHEN sg.doc_id IS NULL THEN 'UNSCORED' WHEN k >= 2 THEN 'LIKELY_SYNTHETIC' WHEN k = 1 THEN 'SUSPECT' ELSE 'CLEAN' END AS tier, sc.score, coalesce(fi.fired, '') AS families_fired, st.strongest
+  FROM w JOIN documents d USING (doc_id) LEFT JOIN sg USING (doc_id) LEFT JOIN sc USING (doc_id) LEFT JOIN fi USING (doc_id) LEFT JOIN st USING (doc_id))"""
+
+
+def _fused(spark, sf_dir):
+    dropped = [x for x in C.SIGNALS if x not in _FUSED_SIGNALS]
+    return self_calibrated(_docs(spark, sf_dir), families=("distributional", "surprisal"), dropped=dropped)
+
+
+@query(_FUSED + " SELECT doc_id, tier, score, families_fired, strongest FROM fused")
+def fused_scores(spark, sf_dir):
+    """The whole way from texts to tiers, by the signals that SQL can make."""
+    rows = _fused(spark, sf_dir)[0]
+    return rows.select("doc_id", "tier", "score", F.concat_ws(",", "families_fired").alias("families_fired"), F.get("evidence", F.lit(0))["signal"].alias("strongest"))
+
+
+@query(_FUSED + " SELECT family, alpha, round(high, 6) AS high, round(low, 6) AS low FROM ct")
+def calibration_thresholds(spark, sf_dir):
+    """The chosen share and each family's bounds."""
+    cal = _fused(spark, sf_dir)[1].calibration
+    return spark.createDataFrame([(f, cal.meta["alpha"], t, cal.thresholds_low[f]) for f, t in cal.thresholds.items()], "family string, alpha double, high double, low double")
+
+
+@query(_FUSED + """ SELECT lang, tier, count(*) AS n, round(avg(score), 2) AS mean_score FROM fused GROUP BY 1, 2""")
+def fused_tiers_by_language(spark, sf_dir):
+    """tier counts and mean score by language."""
+    return _fused(spark, sf_dir)[0].groupBy("lang", "tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 2).alias("mean_score"))
+
+
+_RATE = lambda hit, of: f"round(avg(CASE WHEN {of} THEN CASE WHEN {hit} THEN 1.0 ELSE 0 END END), 5)"
+
+
+@query(_FUSED + f""", ev AS (SELECT tier = 'LIKELY_SYNTHETIC' AS likely, tier IN ('LIKELY_SYNTHETIC', 'SUSPECT') AS flagged, quality = 0 AS pos FROM fused JOIN labels USING (doc_id) WHERE tier <> 'UNSCORED')
+SELECT count(*) AS n, round(avg(CASE WHEN pos THEN 1.0 ELSE 0 END), 5) AS prevalence, {_RATE("likely", "pos")} AS recall_likely, {_RATE("flagged", "pos")} AS recall_flagged, {_RATE("likely", "NOT pos")} AS fpr_likely,
+{_RATE("flagged", "NOT pos")} AS fpr_flagged, {_RATE("pos", "likely")} AS precision_likely, {_RATE("pos", "flagged")} AS precision_flagged FROM ev""")
+def evaluation(spark, sf_dir):
+    """E2, with texts of no quality as the positive kind."""
+    rows = _fused(spark, sf_dir)[0].join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").withColumn("pos", F.col("quality") == 0)
+    out = stats.tier_metrics(rows, "pos")
+    return out.select("n", *[F.round(c, 5).alias(c) for c in out.columns if c != "n"])
+
+
+@query(_FUSED + """, ev AS (SELECT doc_id, score, quality = 0 AS pos FROM fused JOIN labels USING (doc_id) WHERE score IS NOT NULL)
+(SELECT doc_id, score, pos FROM ev WHERE NOT pos ORDER BY score DESC, doc_id LIMIT 10) UNION ALL (SELECT doc_id, score, pos FROM ev WHERE pos ORDER BY score, doc_id LIMIT 10)""")
+def failure_cases(spark, sf_dir):
+    """E6."""
+    rows = _fused(spark, sf_dir)[0].join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").withColumn("pos", F.col("quality") == 0)
+    return stats.failures(rows, "pos").select("doc_id", "score", "pos")
+
+
+@query(_W + """, l AS (SELECT doc_id, source, CAST(len(ws) AS DOUBLE) AS words, len(list_distinct(ws)) / len(ws) AS variety FROM w JOIN documents USING (doc_id) WHERE len(ws) > 0),
+v AS (SELECT source, 'words' AS signal, words AS value FROM l UNION ALL SELECT source, 'variety', variety FROM l)
+SELECT source, signal, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END), 5) AS fires, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.95), 5) AS p95, round(max(value), 5) AS max, count(*) AS n FROM v GROUP BY 1, 2""")
+def detector_report(spark, sf_dir):
+    """Of each signal its reach by source."""
+    v = T.view(F.col("text"))
+    rows = _docs(spark, sf_dir).select("source", v["n_words"].alias("w"), v["n_types"].alias("t")).where("w > 0").select("source", F.col("w").cast("double").alias("words"), (F.col("t") / F.col("w")).alias("variety"))
+    out = stats.fire_report(rows, ["words", "variety"], ["source"])
+    return out.select("source", "signal", *[F.round(c, 5).alias(c) for c in ("fires", "median", "p95", "max")], "n")
 
 
 @query()
