@@ -472,12 +472,12 @@ def test_line_dedup_finds_templates_that_share_a_leaf(spark, other):
 
 def plain_templates(docs, min_docs=3, long_tokens=50, percent=70):
     """The template tree in memory, for distinct ids: the texts left, and how many lines went."""
-    normal = lambda line: line.translate(str.maketrans("123456789\t\r", "000000000  ")).strip(" ")
+    normal = lambda t: [re.sub("[0-9]+", "0", x).strip(" ") for x in t.replace("\r\n", "\n").split("\n")]
     holders = defaultdict(set)
     for i, t in docs:
-        for line in (t.split("\n") if t is not None else []):
-            if normal(line):
-                holders[normal(line)].add(i)
+        for body in normal(t) if t is not None else []:
+            if body:
+                holders[body].add(i)
     need = lambda tok: 2 if len(tok) >= long_tokens else min_docs
     leaves = defaultdict(list)
     for body in holders:
@@ -530,7 +530,7 @@ def plain_templates(docs, min_docs=3, long_tokens=50, percent=70):
     out = {}
     for i, t in docs:
         lines = t.split("\n") if t is not None else []
-        kept = [x for x in lines if first.get(normal(x), i) == i]
+        kept = [x for x, body in zip(lines, normal(t or "")) if first.get(body, i) == i]
         out[i] = (None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
@@ -539,7 +539,7 @@ def plain_templates(docs, min_docs=3, long_tokens=50, percent=70):
 def test_line_dedup_equals_a_tree_in_memory(spark, seed):
     rng = random.Random(seed)
     lines = [" ".join(["a", "b", "c", *(rng.choice("xyzuv") for _ in range(rng.choice((0, 1, 2, 5, 9))))]) for _ in range(120)]
-    lines += ["ok", "", "  ", "See page 12\t", "See page 13\r", "no_spaces_here"] + [f"Posted by user n{i} on the main board" for i in range(9)] + [f"Posted by user f{i} in our old forum" for i in range(9)]
+    lines += ["ok", "", "  ", "See page 12", "See page 137\r", "tab\tbed", "no_spaces_here"] + [f"Posted by user n{i} on the main board" for i in range(9)] + [f"Posted by user f{i} in our old forum" for i in range(9)]
     long = [" ".join(f"w{chr(97 + k % 26)}" if k != j else f"own{j}" for k in range(60)) for j in range(4)]
     docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for i in range(90)] + [(500 + j, x) for j, x in enumerate(long)] + [(600, None), (601, "")]
     got = {r["doc_id"]: (r["text"], r["__n_lines"], r["__n_dropped"]) for r in line_dedup.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
