@@ -1,34 +1,40 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word n-grams (unigrams and bigrams in :data:`BUCKETS` buckets)
-are fitted: the target on labelled good texts, the raw one on all texts. A document's importance is
-the ratio of the two; documents are drawn without replacement in proportion to it by Gumbel top-k:
-the k largest of log weight plus Gumbel noise.
-
-The raw model counts every n-gram of every text. Labels are a bounded sample: at most
-``max_labelled`` rows, those with the smallest hash of the id. Good texts (of quality, not toxic)
-of one half of it fit the target; the other half is held out. The log weight is the sum of the
-n-grams' log ratios, measured from the mean ratio that parts the held-out good texts best from
-those without quality, plus the labels' log odds and the log of ``loss_ratio`` (how much worse it
-is to lose a good text than to keep a bad one), which matter for very short texts; k is the number of documents whose weight is above one, so that the draw
-decides among documents near that border and keeps those far above it.
+Two generative models over hashed word n-grams (unigrams and bigrams in :data:`BUCKETS` buckets) are
+fitted: the raw one counts every n-gram of every text; the target one is the even mixture of the n-grams
+of labelled good texts and of the raw model, so that what few labels do not show counts as common text.
+A document's importance is the ratio of the two, its log weight ``log p_target - log p_raw`` of the whole
+text. Documents are drawn without replacement in proportion to it by Gumbel top-k: the k largest of log
+weight plus Gumbel noise, ties cut at exactly k.
+
+k is a parameter. Left out, it is the number of documents with words whose weight is above a border: the
+weight that parts the held-out good texts best from those without quality, over ``loss_ratio`` (how much
+worse it is to lose a good text than to keep a bad one). So the draw decides among documents near that
+border and keeps those far above it.
+
+Labels are a bounded sample: at most ``max_labelled`` rows, those with the smallest hash of the id. Good
+texts (of quality, not toxic) of one half of it fit the target; the other half is held out, and
+:func:`held_out_report` tells what the draw keeps of it.
 
 Toxic texts can be of good quality, so they have a model of their own, fitted on the same half of the
 labels: the log ratio of the shares of toxic and of clean texts that hold a word, for words that at
 least ``TOXIC_TEXTS`` toxic texts hold and that are over e^``TOXIC_RATIO`` times as common there. A
 text's toxicity is the sum of its distinct words' log ratios by their number; the border is the one
-that parts the held-out toxic and clean texts best, and texts beyond it are not drawn. Tasks count into arrays of
-fixed size; only sums of such arrays, and the labelled rows' scores, reach the driver.
+that parts the held-out toxic and clean texts best, and texts beyond it are not drawn. Tasks count into
+arrays of fixed size; only sums of such arrays, and the labelled rows' scores, reach the driver.
 
-Defined cases: a null or wordless text has no n-gram, the log weight 0 and is rejected; rows with a
+Defined cases: a null or wordless text has no n-gram, the log weight 0 and is never drawn; rows with a
 null id are scored, but never labelled; a label row without a document is ignored, conflicting
-labels count as bad; without held-out labels of both kinds the border is a ratio of one (of toxicity: none is rejected), and without
-any good label every document with words is kept; repeated rows get equal results (the noise follows
-from id and text); an empty table gives an empty result; other columns are kept.
+labels count as bad; without held-out labels of both kinds no text is beyond the border of toxicity, and
+without any good label the ratio is one, so that every document with words is drawn; without held-out
+good and poor ones the border is a weight of 1 / ``loss_ratio``; repeated rows have
+equal weights and noise (it follows from id and text); an empty table gives an empty result; other
+columns are kept, but for those of the added ones' names, which are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +113,7 @@ def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray, text_
 
 
 def _border(rows: list[tuple[bool, float]]) -> float:
-    """The mean log ratio that parts good from bad labelled texts with the fewest errors.
+    """The value that parts good from bad labelled texts, which have the smaller ones, with the fewest errors.
 
     Errors weigh alike in both kinds; of borders with as few errors, the widest gap's middle.
     """
@@ -143,52 +149,79 @@ def _kth(values: DataFrame, k: int, passes: int = 5, bins: int = 4096) -> float:
     return low
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, loss_ratio: float = 10.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with ``__grams, __log_weight, __noise, __selected``."""
+_ADDED = ("__grams", "__log_weight", "__toxicity", "__noise", "__selected")
+
+
+def _labels(labels: DataFrame, max_labelled: int, seed: int, id_col: str) -> DataFrame:
+    """``__label_id``, ``q``, ``t`` and ``half`` of the sample; half 0 fits the models, half 1 is held out."""
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__label_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    return known.orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_labelled).withColumn("half", F.pmod(F.xxhash64("__label_id", F.lit(seed)), F.lit(2)))
+
+
+def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labelled: int = MAX_LABELLED, loss_ratio: float = 10.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with ``__grams, __log_weight, __toxicity, __noise, __selected``."""
     spark = docs.sparkSession
     tune(spark)
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__label_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    known = known.orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_labelled)
-    fit = (F.col("q") > 0) & (F.col("t") == 0) & (F.pmod(F.xxhash64("__label_id", F.lit(seed)), F.lit(2)) == 0)
-    # good: held-out good texts and texts without quality, which the border parts; toxic ones are in neither.
-    held = F.when(~fit & ((F.col("q") <= 0) | (F.col("t") == 0)), F.col("q") > 0)
-    half = F.pmod(F.xxhash64("__label_id", F.lit(seed)), F.lit(2))
-    fit_toxic, held_toxic = F.when(half == 0, F.col("t") > 0), F.when(half == 1, F.col("t") > 0)
-    rows = spark.createDataFrame([tuple(r) for r in known.select("__label_id", fit, held, fit_toxic, held_toxic).collect()], "__label_id long, __fit boolean, __good boolean, __fit_toxic boolean, __held_toxic boolean")
+    docs = docs.drop(*_ADDED)
+    known = _labels(labels, max_labelled, seed, id_col)
+    fit = (F.col("q") > 0) & (F.col("t") == 0) & (F.col("half") == 0)
+    fit_toxic, held_toxic = F.when(F.col("half") == 0, F.col("t") > 0), F.when(F.col("half") == 1, F.col("t") > 0)
+    # Held out: good texts, and those without quality; toxic ones of quality are in neither.
+    held_good = F.when((F.col("half") == 1) & ((F.col("q") <= 0) | (F.col("t") == 0)), F.col("q") > 0)
+    told = [tuple(r) for r in known.select("__label_id", fit, fit_toxic, held_toxic, held_good).collect()]
+    rows = spark.createDataFrame(told, "__label_id long, __fit boolean, __fit_toxic boolean, __held_toxic boolean, __held_good boolean")
     labelled = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__label_id"), "left").drop("__label_id")
 
     counts = labelled.select(F.col(text_col).alias("__text"), "__fit", "__fit_toxic").mapInArrow(_counted, "bucket int, n_raw long, n_good long")
     totals = counts.groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_good").alias("g")).where(f"bucket < {BUCKETS} or r >= {TOXIC_TEXTS}").collect()
-    n_toxic, n_clean = known.agg(F.sum(fit_toxic.cast("long")), F.sum((~fit_toxic).cast("long"))).first()
-    word_ratios = {r["bucket"] - BUCKETS: np.log((r["r"] + 0.5) / (n_toxic + 1)) - np.log((r["g"] + 0.5) / (n_clean + 1)) for r in totals if r["bucket"] >= BUCKETS}
+    n_toxic, n_clean = (sum(r[2] is kind for r in told) for kind in (True, False))
+    word_ratios = {r["bucket"] - BUCKETS: math.log((r["r"] + 0.5) / (n_toxic + 1)) - math.log((r["g"] + 0.5) / (n_clean + 1)) for r in totals if r["bucket"] >= BUCKETS}
     word_ratios = {w: x for w, x in word_ratios.items() if x > TOXIC_RATIO}
-    raw, good = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, good = np.ones(BUCKETS), np.zeros(BUCKETS)
     for r in totals:
-        if r["bucket"] >= BUCKETS:
-            continue
-        raw[r["bucket"]] += r["r"]
-        good[r["bucket"]] += r["g"]
-    fitted = good.sum() > BUCKETS
-    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum()) if fitted else np.zeros(BUCKETS)
+        if r["bucket"] < BUCKETS:
+            raw[r["bucket"]] += r["r"]
+            good[r["bucket"]] += r["g"]
+    raw /= raw.sum()
+    ratio = np.log((good / good.sum() + raw) / 2) - np.log(raw) if good.any() else np.zeros(BUCKETS)
 
     schema = T.StructType([*labelled.schema.fields, T.StructField("__sum", T.DoubleType()), T.StructField("__grams", T.LongType()), T.StructField("__toxicity", T.DoubleType())])
-    scored = written(labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values())), text_col), schema), "importance")
-    seen = scored.where("__good is not null and __grams > 0").select("__good", (F.col("__sum") / F.col("__grams")).alias("m")).collect()
-    border = _border([(r["__good"], r["m"]) for r in seen]) if fitted else -1.0
-    kept = sum(r["__good"] for r in seen)
-    judged = [(not r["__held_toxic"], -r["__toxicity"]) for r in scored.where("__held_toxic is not null and __grams > 0").select("__held_toxic", "__toxicity").collect()]
-    most_toxic = -_border(judged) if len({clean for clean, _ in judged}) == 2 else float("inf")
-    fits = (F.col("__grams") > 0) & (F.col("__toxicity") <= F.lit(most_toxic))
-    prior = float(np.log((kept + 1) / (len(seen) - kept + 1)) + np.log(loss_ratio))
-    weight = F.when(F.col("__grams") > 0, F.col("__sum") - border * F.col("__grams") + prior).otherwise(0.0)
+    scored = labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values())), text_col), schema)
     # Uniform in (0, 1) from 52 bits of a hash of id and text.
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 12) + 0.5) / float(1 << 52)
-    out = scored.withColumns({"__log_weight": weight, "__noise": -F.log(-F.log(uniform))})
-    keys = out.where(fits).select((F.col("__log_weight") + F.col("__noise")).alias("__key"), "__log_weight")
-    k = keys.where("__log_weight > 0").count()
+    scored = scored.withColumns({"__log_weight": F.when(F.col("__grams") > 0, F.col("__sum")).otherwise(0.0), "__noise": -F.log(-F.log(uniform)), "__place": F.monotonically_increasing_id()})
+    scored = written(scored.drop("__sum", "__fit", "__fit_toxic"), "importance")
+    held = scored.where("__held_toxic is not null and __grams > 0").select("__held_toxic", "__held_good", "__toxicity", "__log_weight").dropDuplicates().limit(4 * max_labelled).collect()
+
+    def parted(rows: list[tuple[bool, float]], otherwise: float) -> float:
+        return _border(rows) if len({kind for kind, _ in rows}) == 2 else otherwise
+
+    most_toxic = -parted([(not r["__held_toxic"], -r["__toxicity"]) for r in held], float("-inf"))
+    border = parted([(r["__held_good"], r["__log_weight"]) for r in held if r["__held_good"] is not None], 0.0)
+
+    fits = (F.col("__grams") > 0) & (F.col("__toxicity") <= F.lit(most_toxic))
+    key = F.col("__log_weight") + F.col("__noise")
+    keys = scored.where(fits).select(key.alias("__key"), "__log_weight", "__place")
+    if k is None:
+        k = keys.where(F.col("__log_weight") > border - math.log(loss_ratio)).count()
     cut = _kth(keys, k)
-    selected = fits & (F.col("__log_weight") + F.col("__noise") >= F.lit(cut))
-    return out.withColumn("__selected", selected).select(*docs.columns, "__grams", "__log_weight", "__noise", "__selected")
+    drawn = key >= F.lit(cut)
+    over = keys.where(F.col("__key") >= cut).count() - k
+    if over > 0:
+        # Equal keys at the cut: of these, those that come first.
+        least = keys.where(F.col("__key") >= cut).agg(F.min("__key")).first()[0]
+        ties = keys.where(F.col("__key") == F.lit(least)).select((-F.col("__place")).cast("double").alias("__key"))
+        last = _kth(ties, ties.count() - over)
+        drawn = drawn & ((key > F.lit(least)) | (-F.col("__place") >= F.lit(last)))
+    return scored.withColumn("__selected", fits & drawn).select(*docs.columns, *_ADDED)
+
+
+def held_out_report(drawn: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """Of the held-out labels, by kind (good, toxic, poor), the documents and the share that the draw keeps."""
+    held = _labels(labels, max_labelled, seed, id_col).where("half = 1")
+    kind = F.when(F.col("t") > 0, "toxic").when(F.col("q") > 0, "good").otherwise("poor")
+    rows = drawn.join(F.broadcast(held), F.col(id_col) == F.col("__label_id"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.avg(F.col("__selected").cast("double")).alias("kept"))
 
 
 def op4_importance_resampling(spark, sf_dir: str) -> DataFrame:

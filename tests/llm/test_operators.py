@@ -270,6 +270,44 @@ def test_quality(spark, edge, empty):
     assert quality.importance_sample(empty, labels).count() == 0
 
 
+def test_importance_equals_plain_sums(spark):
+    """Log weights by the two models in memory, noise by its law, and the k largest of their sum with ties."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("the cat sat on $$ ### mats dogs ä".split()) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(900, "the cat")] * 40 + [(None, "the cat sat"), (901, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __noise string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 200, 2)] + [(None, 1, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
+    half = {r["__label_id"]: r["half"] for r in quality._labels(labels, 10_000, quality.SEED, "doc_id").collect()}
+    raw, good = defaultdict(int), defaultdict(int)
+    grams = {}
+    for i, t in rows:
+        grams[i, t] = quality._buckets(quality._hashes((t or "").encode())).tolist()
+        for b in grams[i, t]:
+            raw[b] += 1
+            good[b] += i is not None and i < 200 and i % 2 == 0 and i % 3 > 0 and i % 7 > 0 and half[i] == 0
+    total, n_good = sum(raw.values()) + quality.BUCKETS, sum(good.values())
+    ratio = {b: np.log((good[b] / n_good + (raw[b] + 1) / total) / 2) - np.log((raw[b] + 1) / total) for b in raw}
+    for k in (30, 100):
+        out = quality.importance_sample(docs, labels, k=k).collect()
+        for r in out:
+            assert r["__grams"] == len(grams[r["doc_id"], r["text"]]) and abs(r["__log_weight"] - sum(ratio[b] for b in grams[r["doc_id"], r["text"]])) < 1e-9
+        drawn = [r for r in out if r["__selected"]]
+        fits = [r for r in out if r["__grams"] and (r["__selected"] or r["__toxicity"] <= max(x["__toxicity"] for x in drawn))]
+        assert len(drawn) == k
+        keys = sorted((r["__log_weight"] + r["__noise"] for r in fits), reverse=True)
+        assert sorted((r["__log_weight"] + r["__noise"] for r in drawn), reverse=True) == keys[:k]
+    noise = [r["__noise"] for r in out if r["doc_id"] != 900]
+    assert abs(np.mean(noise) - 0.5772) < 0.3 and len(set(noise)) == len(noise)
+
+
+def test_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    drawn = quality.importance_sample(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    kept = {r["kind"]: r["kept"] for r in quality.held_out_report(drawn, labels).collect()}
+    assert kept["good"] >= 0.98 and kept["poor"] <= 0.1 and kept["toxic"] <= 0.05
+
+
 def test_quality_rejects_toxic_texts_of_good_quality(spark):
     rng = random.Random(4)
     words = ["the", "cat", "sat", "on", "mats", "dogs"]
