@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams (unigrams and bigrams in :data:`BUCKETS` buckets) are
-fitted: the raw one counts every n-gram of every text; the target one is the even mixture of the n-grams
-of labelled good texts and of the raw model, so that what few labels do not show counts as common text.
+fitted: the raw one counts every n-gram of every text; the target one those of labelled good texts, beside
+:data:`PRIOR_TEXTS` texts' worth of the raw model (a Dirichlet prior), so that what few labels do not show
+counts as common text.
 A document's importance is the ratio of the two, its log weight ``log p_target - log p_raw`` of the whole
 text. Documents are drawn without replacement in proportion to it by Gumbel top-k: the k largest of log
 weight plus Gumbel noise, ties cut at exactly k.
@@ -49,6 +50,7 @@ from .common import mix, tune, utf8, written
 
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
+PRIOR_TEXTS = 500
 SEED = 17
 #: Buckets of the words that tell toxic texts; texts that must hold a word; its least log ratio.
 WORDS = 1 << 18
@@ -183,7 +185,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
             raw[r["bucket"]] += r["r"]
             good[r["bucket"]] += r["g"]
     raw /= raw.sum()
-    ratio = np.log((good / good.sum() + raw) / 2) - np.log(raw) if good.any() else np.zeros(BUCKETS)
+    n_fit = sum(bool(r[1]) for r in told)
+    ratio = np.log((n_fit * good / good.sum() + PRIOR_TEXTS * raw) / (n_fit + PRIOR_TEXTS)) - np.log(raw) if good.any() else np.zeros(BUCKETS)
 
     schema = T.StructType([*labelled.schema.fields, T.StructField("__sum", T.DoubleType()), T.StructField("__grams", T.LongType()), T.StructField("__toxicity", T.DoubleType())])
     scored = labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values())), text_col), schema)

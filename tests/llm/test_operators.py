@@ -286,7 +286,9 @@ def test_importance_equals_plain_sums(spark):
             raw[b] += 1
             good[b] += i is not None and i < 200 and i % 2 == 0 and i % 3 > 0 and i % 7 > 0 and half[i] == 0
     total, n_good = sum(raw.values()) + quality.BUCKETS, sum(good.values())
-    ratio = {b: np.log((good[b] / n_good + (raw[b] + 1) / total) / 2) - np.log((raw[b] + 1) / total) for b in raw}
+    n_fit = sum(half[i] == 0 and i % 3 > 0 and i % 7 > 0 for i in range(0, 200, 2)) + (half[5000] == 0)
+    prior = quality.PRIOR_TEXTS
+    ratio = {b: np.log((n_fit * good[b] / n_good + prior * (raw[b] + 1) / total) / (n_fit + prior)) - np.log((raw[b] + 1) / total) for b in raw}
     for k in (30, 100):
         out = quality.importance_sample(docs, labels, k=k).collect()
         for r in out:
