@@ -15,7 +15,7 @@ def _hits(words: Column, listed) -> Column:
 def latin_share(words: Column) -> Column:
     """L1: share of the words' characters in Latin script; 1 without any."""
     joined = F.array_join(words, "")
-    return F.when(F.length(joined) == 0, 1.0).otherwise(F.length(F.regexp_replace(joined, r"[^\p{IsLatin}ªº]", "")) / F.length(joined))
+    return F.when(F.length(joined) == 0, 1.0).otherwise(F.length(F.regexp_replace(joined, r"[^a-zA-Z\p{IsLatin}ªº]", "")) / F.length(joined))
 
 
 def english_share(words: Column) -> Column:
@@ -32,17 +32,26 @@ def best_language(words: Column) -> Column:
     return F.greatest(*ranked)["lang"]
 
 
+def _code(n: Column, latin: Column, foreign_: Column, english_: Column) -> Column:
+    return F.when(n == 0, F.lit(None)).when(latin < MIN_LATIN, F.lit("script")).when((foreign_ >= MIN_FOREIGN) & (foreign_ > FOREIGN_TO_ENGLISH * english_), F.lit("foreign"))
+
+
 def reason_code(words: Column) -> Column:
     """L2: ``script``, ``foreign``, or null where nothing speaks against English."""
-    foreign_ = foreign_share(words)
-    return F.when(F.size(words) == 0, F.lit(None)).when(latin_share(words) < MIN_LATIN, F.lit("script")).when((foreign_ >= MIN_FOREIGN) & (foreign_ > FOREIGN_TO_ENGLISH * english_share(words)), F.lit("foreign"))
+    return _code(F.size(words), latin_share(words), foreign_share(words), english_share(words))
 
 
 def non_english_reason(words: Column) -> Column:
     """L2 in words; the share in percent and, for function words, the best known language."""
     pct = lambda c: F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
-    code = reason_code(words)
-    return F.when(code == "script", F.concat(F.lit("not English: "), pct(latin_share(words)), F.lit(" of its letters are Latin script"))).when(
-        code == "foreign",
-        F.concat(F.lit("not English: "), pct(foreign_share(words)), F.lit(" function words of another language (closest: "), best_language(words), F.lit(") against "), pct(english_share(words)), F.lit(" English")),
-    )
+
+    def told(s: Column) -> Column:
+        code = _code(s["n"], s["latin"], s["foreign"], s["english"])
+        return F.when(code == "script", F.concat(F.lit("not English: "), pct(s["latin"]), F.lit(" of its letters are Latin script"))).when(
+            code == "foreign",
+            F.concat(F.lit("not English: "), pct(s["foreign"]), F.lit(" function words of another language (closest: "), best_language(words), F.lit(") against "), pct(s["english"]), F.lit(" English")),
+        )
+
+    # The shares are bound once, as the one element of an array.
+    shares = F.struct(F.size(words).alias("n"), latin_share(words).alias("latin"), foreign_share(words).alias("foreign"), english_share(words).alias("english"))
+    return F.get(F.transform(F.array(shares), told), F.lit(0))

@@ -34,11 +34,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def _ends_on_abbreviation(piece: Column) -> Column:
-    bare = F.regexp_replace(piece, f"[{CLOSERS}]+$", "")
-    last = F.regexp_extract(F.substr(bare, F.lit(1), F.length(bare) - 1), rf"([^\p{{IsWhite_Space}}\x1c-\x1f]+){SPACE}*$", 1)
-    last = F.regexp_replace(F.lower(last), r"^[(\[\"']+|[(\[\"']+$", "")
-    return F.endswith(bare, F.lit(".")) & (last.isin(ABBREVIATIONS) | F.rlike(last, F.lit(r"^\p{L}$")))
+#: How a piece that joins the next one ends: an abbreviation or an initial, and its full stop.
+_OPEN_END = rf"{SPACE}[(\[\"']*(?:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)}|\p{{L}})[(\[\"']*{SPACE}*[.][{CLOSERS}]*$"
+
+
+def pieces(text: Column) -> Column:
+    """Pieces between end marks, without the closing marks and the white space after them.
+
+    A piece begins and ends without white space, since the bounds take all of it, so that only the whole text is stripped.
+    """
+    return F.filter(F.split(strip(text), rf"(?<=[.!?…])[{CLOSERS}]*{SPACE}+", -1), lambda p: p != "")
+
+
+def _is_open(piece: Column) -> Column:
+    """Whether a piece ends on an abbreviation or initial; its last characters tell."""
+    tail = F.right(F.concat(F.lit(" "), piece), F.lit(64))
+    return F.contains(tail, F.lit(".")) & F.rlike(F.lower(tail), F.lit(_OPEN_END))
+
+
+def openings(parts: Column, wanted) -> Column:
+    """``n`` and ``k``: the sentences that the pieces make, and those whose first piece is ``wanted``.
+
+    A piece begins a sentence unless the one before joins it; one fold, in which each piece is looked at once.
+    """
+    state = F.struct(F.lit(False).alias("joins"), F.lit(0).alias("n"), F.lit(0).alias("k"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        begins = F.when(acc["joins"], 0).otherwise(1)
+        return F.struct(_is_open(piece).alias("joins"), (acc["n"] + begins).alias("n"), (acc["k"] + F.when((begins == 1) & wanted(piece), 1).otherwise(0)).alias("k"))
+
+    return F.aggregate(parts, state, add)
 
 
 def sentences(text: Column) -> Column:
@@ -46,18 +71,17 @@ def sentences(text: Column) -> Column:
 
     The abbreviation test reads a piece's last word only, so joining is a fold over the pieces.
     """
-    pieces = F.filter(F.transform(F.split(text, rf"(?<=[.!?…])[{CLOSERS}]*{SPACE}+", -1), strip), lambda p: p != "")
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
     def add(acc: Column, piece: Column) -> Column:
         joined = F.when(acc["held"] == "", piece).otherwise(F.concat(acc["held"], F.lit(" "), piece))
-        open_ = _ends_on_abbreviation(piece)
+        open_ = _is_open(piece)
         return F.struct(F.when(open_, acc["done"]).otherwise(F.array_append(acc["done"], joined)).alias("done"), F.when(open_, joined).otherwise(F.lit("")).alias("held"))
 
     def close(acc: Column) -> Column:
         return F.when(acc["held"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["held"]))
 
-    return F.aggregate(pieces, state, add, close)
+    return F.aggregate(pieces(text), state, add, close)
 
 
 def lines(text: Column) -> Column:

@@ -90,6 +90,15 @@ def _product(xs) -> float:
     return out
 
 
+def _by_tier(scored: DataFrame) -> dict[str, list[float]]:
+    """The smallest and the (upper) median score of the documents that fire no, one, or more families."""
+    tier = F.when(F.col("fired") >= 2, "LIKELY").when(F.col("fired") == 1, "SUSPECT").otherwise("CLEAN")
+    named = scored.where("score is not null").select(tier.alias("name"), F.col("score").alias("v"))
+    sizes = dict(named.groupBy("name").count().collect())
+    at = order_statistics(named, {t: [0, n // 2] for t, n in sizes.items()})
+    return {t: [round(at[t][0], 1), round(at[t][n // 2], 1)] for t, n in sizes.items()}
+
+
 def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str | None = None, breakdown_by: str | None = None, source: str = "", min_documents: int = MIN_DOCUMENTS, dropped: Iterable[str] = ()) -> CalibrationRun:
     """C2-C11 from a profile (see :mod:`corpuscope.plans.profile`)."""
     rows = profile.where("analysable").withColumn("half", half_of(F.col("doc_id")))
@@ -146,7 +155,7 @@ def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str
         {"baseline": source, "documents": halves, "likely_target": likely_target, "alpha": passing[-1], "evaluation": evaluation} | ({"stratify_by": stratify_by} if stratify_by else {}),
     )
     # The score's own null: the statistic over half A.
-    s = cut(fu.with_statistic(fu.with_percentiles(z.select("half", *[f"z_{f}" for f in FAMILIES]), cal), cal).select("half", "statistic"))
+    s = cut(fu.with_statistic(fu.with_percentiles(z.select("half", *[f"z_{f}" for f in FAMILIES]), cal), cal).select("half", "statistic", sum((_fires(f, high, low) for f in sizes), F.lit(0)).alias("fired")))
     na = halves["A"]
     null = order_statistics(s.where("half = 'A'").select(F.lit("s").alias("name"), F.col("statistic").alias("v")), {"s": fu.nearest_index(QUANTILES, na - 1)})["s"]
     cal.score_null = [round(null[i], 6) for i in fu.nearest_index(QUANTILES, na - 1)]
@@ -154,7 +163,7 @@ def calibrate(profile: DataFrame, likely_target: float = 0.01, stratify_by: str
     nb = halves["B"]
     mid, p95 = nb // 2, int(0.95 * nb)
     bs = order_statistics(b.select(F.lit("s").alias("name"), F.col("score").alias("v")), {"s": [mid, p95]})["s"]
-    evaluation["B"] |= {"score_median": round(bs[mid], 2), "score_p95": round(bs[p95], 2)}
+    evaluation["B"] |= {"score_median": round(bs[mid], 2), "score_p95": round(bs[p95], 2), "score_by_tier_min_median": _by_tier(b)}
     if evaluation["B"]["likely_rate"] > 1.5 * likely_target:
         notes.append(f"held-out half B reaches the likely tier at {evaluation['B']['likely_rate']:.2%}, above the {likely_target:.1%} target")
     return CalibrationRun(cal, search, z, notes, stats)

@@ -320,7 +320,7 @@ def rollups(scored: DataFrame) -> dict[str, DataFrame]:
 
 def top(scored: DataFrame, n: int = 20) -> DataFrame:
     """highest scores first, ties in corpus order."""
-    return scored.where("score is not null").orderBy(F.desc("score"), "doc_id").limit(n)
+    return scored.where("score is not null").orderBy(F.desc("score"), "__row" if "__row" in scored.columns else "doc_id").limit(n)
 
 
 def label_by_tier(scored: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -146,6 +147,7 @@ def distributional(text: str, words: list[str]) -> dict[str, float | None]:
     return out
 
 
+@lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     """Without one possessive, then without the first fitting ending that leaves three letters."""
     mark = next((p for p in ("'s", "’s", "'", "’") if word.endswith(p) and len(word) > len(p)), "")
@@ -232,28 +234,29 @@ def _count(text: Column, folded: Column, patterns: tuple[str, ...], signs: tuple
 def with_artifacts(docs: DataFrame, able: Column | None = None, words: Column | None = None) -> DataFrame:
     """``docs`` (with text) and A1-A6; null without words (A5: sentences, A6: five lines) or where not ``able``.
 
-    Words, sentences, lines and the folded text are columns of their own, found once.
+    Words, pieces, lines and the folded text are columns of their own, found once.
     """
     text = F.col("text")
     where = F.lit(True) if able is None else able
     given = lambda c: F.when(where, c)
     # Letters that fold to i, s and k in any case: the folded text only tells where a pattern may match.
     folded = F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
-    parts = {"__folded": given(folded), "__words": given(T.words(text) if words is None else words), "__sentences": given(T.sentences(text)), "__lines": given(T.lines(text))}
+    opener = lambda s: F.lower(F.regexp_extract(s, r"^[ \t\"'*#>\-•]*([A-Za-z]+)", 1)).isin(TRANSITIONS)
+    parts = {"__folded": given(folded), "__words": given(T.words(text) if words is None else words), "__starts": given(T.openings(T.pieces(text), opener)), "__lines": given(T.lines(text))}
     found, n = F.col("__words"), F.size("__words")
     per_thousand = lambda c: F.when(where & (n > 0), c * 1000.0 / n)
     listed = lambda ws: F.size(F.filter(found, lambda w: w.isin(list(ws))))
     mixed = (F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(APOSTROPHES), F.lit(1)))) > 1).cast("int")
     noise = F.regexp_count(text, F.lit(_java(LOWER_I, ""))) + F.regexp_count(text, F.lit(REPEATED_PUNCTUATION)) + listed(INFORMAL) + mixed
-    sentences, lines = F.col("__sentences"), F.col("__lines")
-    opener = lambda s: F.lower(F.regexp_extract(s, r"^[ \t\"'*#>\-•]*([A-Za-z]+)", 1)).isin(TRANSITIONS)
+    lines = F.col("__lines")
     bold = _java(BOLD_LEAD, "")
+    starts = F.col("__starts")
     return docs.withColumns(parts).withColumns({
         "assistant_echo_rate": per_thousand(_count(text, F.col("__folded"), ASSISTANT_ECHO, _ECHO_SIGNS)),
         "hedging_rate": per_thousand(_count(text, F.col("__folded"), HEDGING, _HEDGE_SIGNS)),
         "llm_lexicon_rate": per_thousand(listed(LEXICON)),
         "human_noise_rate": per_thousand(noise),
-        "transition_rate": F.when(where & (n > 0) & (F.size(sentences) > 0), F.size(F.filter(sentences, opener)) / F.size(sentences)),
+        "transition_rate": F.when(where & (n > 0) & (starts["n"] > 0), starts["k"] / starts["n"]),
         "bold_lead_rate": F.when(where & (n > 0) & (F.size(lines) >= 5), F.size(F.filter(lines, lambda x: F.contains(x, F.lit("**")) & F.rlike(x, F.lit(bold)))) / F.size(lines)),
     }).drop(*parts)
 

@@ -37,13 +37,14 @@ def views(docs: DataFrame, guard: bool = True) -> DataFrame:
     return _viewed(docs, guard).drop("__w")
 
 
-def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: DataFrame | None = None, model: lm.LanguageModel | None = None, guard: bool = True) -> Profile:
+def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: DataFrame | None = None, model: lm.LanguageModel | None = None, guard: bool = True, of_model: bool = False) -> Profile:
     """Signals of every analysable document; in reference mode against the reference's model.
 
     ``docs``: doc_id (of any type), text, and any columns to keep. A row is a document: ids may
     repeat or be null, and ``__row`` (the place in the input) tells rows apart. What follows from a text
     alone is one projection and one Arrow pass; families that are not asked for are not computed:
-    without surprisal no model is fitted. The result, without texts, is cut in the shared folder.
+    without surprisal no model is fitted. ``of_model`` tells that ``model`` was fitted on these documents
+    (:func:`corpuscope.operators.language_model.by_row`), so that each is scored without itself. The result, without texts, is cut in the shared folder.
     """
     docs = spread(docs.withColumn("__row", F.monotonically_increasing_id()))
     seen = _viewed(docs, guard)
@@ -57,7 +58,8 @@ def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: Da
             seen = build(seen)
     seen = seen.persist()
     out, notes, dropped = seen, [], ()
-    self_mode = reference is None and model is None
+    own = reference is None and model is None
+    self_mode = own or of_model
     if "surprisal" in families:
         texts = seen.select(F.col("__row").alias("doc_id"), "text")
         model = model or lm.fit(lm.by_row(reference)[0] if reference is not None else texts)
@@ -77,6 +79,6 @@ def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: Da
     missing = {s: F.lit(None).cast("double") for s in catalog() if s not in out.columns}
     rows = cut((out.withColumns(missing) if missing else out).drop("text"))
     seen.unpersist()
-    if model is not None and self_mode:
+    if model is not None and (own or reference is not None):
         model.release()
     return Profile(rows, model, dropped, tuple(notes))

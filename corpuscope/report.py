@@ -39,9 +39,27 @@ def histogram_svg(bins: dict[str, int]) -> str:
     return f'<svg width="240" height="60" role="img" aria-label="scores">{bars}</svg>'
 
 
+_STYLE = "body{font:15px sans-serif;max-width:60em;margin:2em auto}td,th{padding:.2em .8em;text-align:left}td.n{text-align:right}"
+
+
+def _rows(rows: list[list], head: list[str]) -> str:
+    cells = lambda row, tag: "".join(f"<{tag}>{html.escape(str(x))}</{tag}>" for x in row)
+    return f"<table><tr>{cells(head, 'th')}</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows) + "</table>"
+
+
 def render_html(meta: dict, top: list[dict]) -> str:
-    body = html.escape(render_markdown(meta, top))
-    return f"<!doctype html><meta charset=utf-8><title>Corpus audit</title>{histogram_svg(meta.get('histogram', {}))}<pre>{body}</pre>\n"
+    """One page that needs no other file; whatever comes from documents is escaped."""
+    why = lambda d: "; ".join(f"{e['signal']} {e['deviation']} ({e['value']})" for e in notable(d))
+    parts = [
+        "<!doctype html><meta charset=utf-8><title>Corpus audit</title>", f"<style>{_STYLE}</style><h1>Corpus audit</h1>",
+        f"<p>{meta['n_documents']} documents, {meta['n_analysable']} scored, mode {html.escape(str(meta['mode']))}.</p>",
+        _rows([[t, meta["tiers"].get(t, 0)] for t in TIERS], ["Tier", "Documents"]), "<h2>Scores</h2>", histogram_svg(meta.get("histogram", {})),
+    ]
+    if meta.get("labels"):
+        parts += ["<h2>Labels</h2>", _rows([[label, *[n.get(t, 0) for t in TIERS]] for label, n in sorted(meta["labels"].items())], ["Label", *TIERS])]
+    parts += ["<h2>Highest scores</h2>", _rows([[d["doc_id"], d["tier"], d["score"], why(d) or "no single signal stands out"] for d in top], ["Document", "Tier", "Score", "Evidence"])]
+    parts += ["<h2>Notes</h2><ul>", *[f"<li>{html.escape(n)}</li>" for n in [*meta.get("notes", []), *CAVEATS]], "</ul>"]
+    return "\n".join(parts) + "\n"
 
 
 RENDERERS = {"markdown": render_markdown, "json": render_json, "html": render_html}
@@ -54,6 +72,6 @@ def explain(doc: dict) -> str:
         out.append(f"  not scored: {doc['reason']}")
     fams = {f: r for f, r in (doc.get("families") or {}).items() if r and r.get("z") is not None}
     for f, r in sorted(fams.items(), key=lambda x: -abs(x[1]["z"])):
-        out.append(f"  {f}: z {r['z']} of {r['n_signals']} signals, fires below {r['threshold_low']} or above {r['threshold']}" + (f"; fired {r['side']}" if r["fired"] else ""))
+        out.append(f"  {f}: z {r['z']} of {r['n_signals']} signals, fires below {r.get('threshold_low')} or above {r.get('threshold')}" + (f"; fired {r['side']}" if r.get("fired") else ""))
     out += [f"    {e['signal']}: {e['value']} ({e['deviation']} typical, z {e['z']}): {e['description']}" for e in doc.get("evidence") or []]
     return "\n".join(out)

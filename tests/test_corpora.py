@@ -19,11 +19,31 @@ def test_readers(spark, tmp_path):
     rows = {r["text"]: r for r in readers.read_corpus(spark, str(tmp_path)).collect()}
     assert set(rows) == {"plain text", "hello", "by body"}
     assert rows["hello"]["doc_id"] == "d1" and rows["plain text"]["doc_id"] == "a.txt" and rows["by body"]["label"] == "human"
+    assert rows["hello"]["source"] == "b.jsonl.gz" and rows["by body"]["doc_id"] == "b.jsonl.gz#5" and dict(rows["by body"]["meta"]) == {"id": "7", "text": " ", "label": "human"}
     assert readers.read_corpus(spark, str(tmp_path), min_chars=6).count() == 2
+    assert [r["text"] for r in readers.read_corpus(spark, f"file://{tmp_path}", limit=2).collect()] == ["plain text", "hello"]
+    assert readers.read_corpus(spark, f"{tmp_path}/*.txt").count() == 1
+    with gzip.open(tmp_path / "bad.jsonl.gz", "wb") as f:
+        f.write(b'{"id": "x", "text": "a\xff b"}\n')
+    assert readers.read_corpus(spark, str(tmp_path / "bad.jsonl.gz")).first()["text"] == "a\ufffd b"
     with pytest.raises(readers.CorpusError):
         readers.read_corpus(spark, str(tmp_path / "none"))
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("a", "b"):
+            (tmp_path / f"{name}.jsonl").write_text("".join("\n" if i % 7 == 3 else f'{{"text": "{name} {i} {"x" * (i % 90)}"}}\n' for i in range(1, 800)))
+        got = readers.read_corpus(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 2 * sum(i % 7 != 3 for i in range(1, 800))
+    assert all(r["doc_id"] == "{0}.jsonl#{1}".format(*r["text"].split()[:2]) for r in got)
+
+
 def test_registry():
     state = registry.snapshot()
     registry.register("own_signal", "artifact")(lambda df: df)
