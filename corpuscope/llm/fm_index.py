@@ -8,9 +8,10 @@ phrases are searched backwards at once through its ranks. Occurrences are locate
 suffix positions sampled every :data:`SAMPLE` symbols. Overlapping occurrences are merged into
 spans of words.
 
-The phrases are a stated query set: their bytes are counted before they are sent to the tasks, and
-a set above :data:`PHRASE_BYTES` is refused (give it in several calls). Documents are read once,
-without a shuffle.
+The phrases are a stated query set: their bytes are counted before they are sent to the tasks; a set
+above :data:`PHRASE_BYTES` is dealt into parts that hold about so much each, which are searched one after
+another while the documents pass through, and their spans merged. Documents are read once, without a
+shuffle.
 
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Defined cases: a null
 or wordless text has no words and no hits; a null or wordless item has no phrases; equal items each
@@ -213,7 +214,20 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _scan(items: list[tuple[str, bytes]], window: int, text_col: str, kept: list[str], cut: bool):
+def _merged(spans: list[tuple[int, int]], more: list[dict]) -> list[tuple[int, int]]:
+    """Spans of two searches as one list of spans that do not overlap."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted([*spans, *((m["start"], m["end"]) for m in more)]):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def _scan(items: list[tuple[str, bytes]], window: int, text_col: str, kept: list[str], cut: bool, before: bool):
+    """``before``: the rows carry what earlier parts of the phrases have found."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, window)
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -224,6 +238,11 @@ def _scan(items: list[tuple[str, bytes]], window: int, text_col: str, kept: list
             for batch in held:
                 own = slice(at, at + batch.num_rows)
                 at += batch.num_rows
+                if before:
+                    earlier = zip(range(own.start, own.stop), batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True)
+                    for i, old_spans, old_items in earlier:
+                        spans[i] = _merged(spans[i], old_spans)
+                        found[i] |= set(old_items)
                 columns = [batch.column(c) for c in kept]
                 if cut and any(spans[own]):
                     texts = [cut_words(t, s) if s else t for t, s in zip(batch.column(text_col).to_pylist(), spans[own], strict=True)]
@@ -253,17 +272,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     if window < 1:
         raise ValueError("window must be at least 1")
     tune(docs.sparkSession)
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
-    if size > PHRASE_BYTES:
-        raise ValueError(f"the test items hold {size} bytes; more than {PHRASE_BYTES} must be given in several calls")
-    rows = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), item_text_col).collect()
-    items = [(r[0], r[1].encode()) for r in rows]
-    kept = docs.columns if keep is None else keep
-    source = docs.select(*dict.fromkeys([*kept, text_col]))
-    fields = [f for c in kept for f in source.schema.fields if f.name == c]
+    named = benchmark.where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // PHRASE_BYTES))
+    added = ("__n_words", "__spans", "__items")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    rows = docs.select(*dict.fromkeys([*kept, text_col]))
+    fields = {f.name: f for f in rows.schema.fields}
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*fields, T.StructField("__n_words", T.LongType()), T.StructField("__spans", spans), T.StructField("__items", T.ArrayType(T.StringType()))])
-    return source.mapInArrow(_scan(items, window, text_col, list(kept), cut), schema)
+    told = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", spans), T.StructField("__items", T.ArrayType(T.StringType()))]
+    for part in range(parts):
+        own = named if parts == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        items = [(r[0], r[1].encode()) for r in own.collect()]
+        last = part == parts - 1
+        through = kept if last else list(fields)
+        schema = T.StructType([*[fields[c] for c in through], *told])
+        rows = rows.mapInArrow(_scan(items, window, text_col, through, cut and last, part > 0), schema)
+    return rows
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
