@@ -3,23 +3,29 @@
 A file starts with a skippable frame (magic 0x184D2A5D) that embeds the dictionary, so that it can
 be read alone; each record is compressed individually with it, so that any record can be read by its
 offset. The dictionary is trained on a bounded sample of the archived records
-(:data:`SAMPLE_RECORDS` records, :data:`SAMPLE_BYTES` bytes); records are all archived.
+(:data:`SAMPLE_RECORDS` records, of each the first :data:`SAMPLE_CHARS` characters); records are all archived whole.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that with the smallest page_id is
 the response, the others are revisits of it without a body. The groups are pre-aggregated by digest
 (minimum and count, combined on the map side), and only digests that occur twice are joined back.
 
+Records follow WARC/1.1: each file tells of itself in a warcinfo record; a response's block is an HTTP
+response whose body is the payload, a revisit's its header alone. A record's id follows from page_id and
+payload digest, so that a revisit can name the response it stands for.
+
 Defined cases: a null html is an empty payload; a null url gives an empty target; rows that share
-the smallest page_id of a group are all responses; a null page_id never names a group (a group of
+the smallest page_id of a group are all responses; repeated rows are equal records of one id; a null page_id never names a group (a group of
 such rows has responses only); an empty table writes no file; other columns are ignored. Files are
-written whole or not at all under names that follow from the task, so a repeated task replaces them
-with the same records.
+written whole or not at all, each under the name of its task attempt, and the index is committed with
+those of the attempt that counts: what a lost or doubled attempt has written is in no index.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,32 +37,44 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, filesystem, shared_dir, tune, utf8, write_file, written
 
 SKIPPABLE = 0x184D2A5D
-SAMPLE_RECORDS, SAMPLE_BYTES = 512, 8 << 20
+SAMPLE_RECORDS, SAMPLE_CHARS = 512, 16 << 10
 DICTIONARY_BYTES = 64 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
-DATE = "2024-01-01T00:00:00Z"
-
-
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC/1.1 record; a revisit has no body, and tells the length of what it stands for."""
-    fields = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
-        f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
+_IDS = uuid.UUID("6f1b3a0e-8a52-4d0b-9f6e-2f8f6d1c7a10")
+_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_IDS, f'{page_id}:{digest}')}>"
+
+
+def _lines(fields: list[tuple[str, object]], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
+    return head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+    """One record; a revisit has no payload, and tells the length of what it stands for."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    fields: list[tuple[str, object]] = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date),
+        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"),
+        ("X-Page-ID", page_id), ("X-Payload-Length", len(payload)),
     ]
     if refers_to is not None:
-        fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    body = payload if refers_to is None else b""
-    fields += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
-    return "\r\n".join(fields).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", refers_to)]
+    return _lines(fields, http if refers_to is not None else http + payload)
+
+
+def info(name: str, date: str) -> bytes:
+    """The warcinfo record of a file."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: corpuscope\r\n"
+    return _lines([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_IDS, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's fields and its payload: what follows the HTTP header."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -65,7 +83,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["Content-Length"])
     if len(rest) != n + 4:
         raise ValueError("a record's length is wrong")
-    return fields, rest[:n]
+    return fields, rest[:n].partition(b"\r\n\r\n")[2]
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -95,25 +113,29 @@ class Archive:
         self.file.close()
 
 
-def _write(folder: str, dictionary: bytes):
+def _write(folder: str, dictionary: bytes, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
-        part, k = TaskContext.get().partitionId(), 0
-        frames, at, rows = [frame], len(frame), []
+        task = TaskContext.get()
+        part, attempt, k = task.partitionId(), task.taskAttemptId(), 0
+        frames, at, rows = [], 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal frames, at, rows, k
-            uri = f"{folder}/{part:06d}-{k:05d}.warc.zst"
-            write_file(uri, frames)
-            out = pa.RecordBatch.from_arrays([pa.array([uri] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["file", "at", "length"])
-            frames, at, rows, k = [frame], len(frame), [], k + 1
+            name = f"{part:06d}-{attempt}-{k:05d}.warc.zst"
+            first = [frame, writer.compress(info(name, date))]
+            shift = sum(map(len, first))
+            uri = f"{folder}/{name}"
+            write_file(uri, [*first, *frames])
+            out = pa.RecordBatch.from_arrays([pa.array([uri] * len(rows), pa.string()), pa.array([r[0] + shift for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["file", "at", "length"])
+            frames, at, rows, k = [], 0, [], k + 1
             return out
 
         for batch in batches:
             ids, urls, digests, refers = (batch.column(c).to_pylist() for c in ("__id", "__url", "__digest", "__refers_to"))
             for i, payload in enumerate(utf8(batch.column("__html"))):
-                data = writer.compress(record(ids[i], urls[i], payload, digests[i], refers[i]))
+                data = writer.compress(record(ids[i], urls[i], payload, digests[i], refers[i], date))
                 frames.append(data)
                 rows.append((at, len(data)))
                 at += len(data)
@@ -128,9 +150,8 @@ def _write(folder: str, dictionary: bytes):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, archive = None, None
 
-    def page(urn: str | None) -> int | None:
-        tail = urn[len("<urn:page:") : -1] if urn else "None"
-        return None if tail == "None" else int(tail)
+    def page(value: str | None) -> int | None:
+        return None if value in (None, "None") else int(value)
 
     for batch in batches:
         out = []
@@ -143,13 +164,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
             if fields["WARC-Type"] == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(fields["X-Payload-Length"])):
                 raise ValueError(f"a payload in {uri} does not fit its digest")
-            out.append((page(fields["WARC-Record-ID"]), int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"]))
+            out.append((page(fields["X-Page-ID"]), int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], page(fields.get("X-Refers-To-Page")), fields["WARC-Target-URI"]))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
 
 
-def write_archives(pages: DataFrame, min_revisit: int = 100, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archive all pages; gives the index of records: file, at, length."""
+def write_archives(pages: DataFrame, min_revisit: int = 100, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
+    """Archive all pages, as of ``date`` (else now); gives the index of records: file, at, length."""
     spark = pages.sparkSession
     tune(spark)
     folder = folder or shared_dir(spark, "warc")
@@ -161,14 +182,10 @@ def write_archives(pages: DataFrame, min_revisit: int = 100, folder: str | None
         groups = F.broadcast(groups)
     refers = F.when(F.col("__id") != F.col("__first"), F.col("__first")).when(F.col("__id").isNull(), F.col("__first"))
     rows = rows.join(groups, "__digest", "left").withColumn("__refers_to", refers)
-    sample, held = [], 0
-    for r in pages.select(F.col(id_col).cast("long"), url_col, html.alias("__html")).limit(SAMPLE_RECORDS).toLocalIterator():
-        payload = r[2].encode()[:SAMPLE_BYTES]
-        sample.append(record(r[0], r[1], payload, hashlib.sha256(payload).hexdigest(), None))
-        held += len(payload)
-        if held >= SAMPLE_BYTES:
-            break
-    index = rows.select("__id", "__url", "__html", "__digest", "__refers_to").mapInArrow(_write(folder, train(sample)), "file string, at long, length long")
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    some = pages.select(F.col(id_col).cast("long"), url_col, F.left(html, F.lit(SAMPLE_CHARS))).limit(SAMPLE_RECORDS).collect()
+    sample = [record(r[0], r[1], r[2].encode(), hashlib.sha256(r[2].encode()).hexdigest(), None, date) for r in some]
+    index = rows.select("__id", "__url", "__html", "__digest", "__refers_to").mapInArrow(_write(folder, train(sample), date), "file string, at long, length long")
     return written(index, "warc-index")
 
 
