@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import filesystem, shared_dir, tune, utf8, write_file, written
+from .common import BROADCAST_BYTES, filesystem, shared_dir, tune, utf8, write_file, written
 
 MAGIC = b"CSIDS1\0\0"
 BLOCK_IDS = 4096
@@ -228,11 +229,15 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, folder: str | None =
     # Ties are ordered by a hash: the sample that range partitioning takes must not hold texts.
     ordered = ordered.withColumn("__tie", F.xxhash64("__text")).orderBy("__id", "__tie").drop("__tie")
     index = written(ordered.mapInArrow(_write(path, end_id, folder), "part int, file int, doc_id long, at long, n long"), "ids-index")
-    # One row a file: the files' starts are running sums of their counts.
-    files = sorted(index.groupBy("part", "file").agg(F.sum("n").alias("n")).collect())
-    starts = [(r["part"], r["file"], s) for r, s in zip(files, itertools.accumulate((r["n"] for r in files), initial=0), strict=False)]
-    base = spark.createDataFrame(starts, "part int, file int, base long")
-    index = index.join(F.broadcast(base) if len(starts) <= 500_000 else base, ["part", "file"])
+    # Files of a task are numbered in order, and tasks too: one sum a task reaches the driver.
+    files = index.groupBy("part", "file").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = sorted(files.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    starts = [(r["part"], s) for r, s in zip(tasks, itertools.accumulate((r["n"] for r in tasks), initial=0), strict=False)]
+    first = spark.createDataFrame(starts, "part int, first long")
+    base = files.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(first), "part").select("part", "file", (F.col("first") + F.col("own")).alias("base"))
+    base = F.broadcast(base) if base.count() * 32 <= BROADCAST_BYTES else base
+    index = index.join(base, ["part", "file"])
     return folder, index.withColumn("start", F.col("base") + F.col("at")).drop("base")
 
 
