@@ -390,6 +390,22 @@ def test_warc(spark, tmp_path):
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
     assert got[3]["record_type"] == "response" and {got[i]["refers_to"] for i in (5, 9, None)} == {3} and got[5]["record_type"] == "revisit"
     assert got[1]["record_type"] == got[2]["record_type"] == "response"
+    # Every file can be read alone: its dictionary, a warcinfo record, then the records; ids lead from revisits to responses.
+    import zstandard
+
+    ids, refers = set(), set()
+    for file in {r["file"] for r in index.collect()}:
+        data = open(file.removeprefix("file://"), "rb").read()
+        assert int.from_bytes(data[:4], "little") == 0x184D2A5D
+        n = int.from_bytes(data[4:8], "little")
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])) if n else zstandard.ZstdDecompressor()
+        with reader.stream_reader(data[8 + n :], read_across_frames=True) as stream:
+            text = stream.read()
+        assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        ids |= set(re.findall(rb"WARC-Record-ID: (\S+)", text))
+        refers |= set(re.findall(rb"WARC-Refers-To: (\S+)", text))
+        assert text.count(b"HTTP/1.1 200 OK") == text.count(b"X-Page-ID")
+    assert len(refers) == 1 and refers <= ids
     assert warc.read_archives(warc.write_archives(pages.where("false"), folder=f"file://{tmp_path}/e")).count() == 0
 
 
@@ -429,6 +445,11 @@ def test_fm_index_equals_brute_force(spark, edge, empty, monkeypatch):
     assert {r["doc_id"]: (r["__n_words"], sum(s["end"] - s["start"] for s in r["__spans"]), r["__items"]) for r in rows} == brute_hits(docs, items)
     assert fm_index.contamination(edge, bench).count() == len(EDGE) and fm_index.contamination(empty, bench).count() == 0
     assert fm_index.contamination(edge, bench.where("false")).where("size(__spans) > 0").count() == 0
+    # More phrases than one part may hold: several parts, the same result.
+    monkeypatch.setattr(fm_index, "PHRASE_BYTES", 40)
+    again = fm_index.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, keep=["doc_id"]).collect()
+    assert {r["doc_id"]: (r["__n_words"], sum(s["end"] - s["start"] for s in r["__spans"]), r["__items"]) for r in again} == brute_hits(docs, items)
+    monkeypatch.setattr(fm_index, "PHRASE_BYTES", 64 << 20)
     assert fm_index.cut_words("x a b, c. y", [(1, 4)]) == "x . y"
     assert fm_index.cut_words("The É-Cat SAT, Down 5 times", [(1, 4), (5, 6)]) == "The , Down  times"
     mixed = fm_index.contamination(spark.createDataFrame([(1, "Keep THIS. One Two\nTHREE four Five six SEVEN eight nine ten! And This")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string"), cut=True).first()
@@ -607,6 +628,28 @@ def test_ids_equal_the_plain_call():
     assert 50256 in np.frombuffer(enc([texts[0]])[0], dtype=enc.dtype)
 
 
+def test_ids_equal_the_library_on_all_texts(spark):
+    """Every text of sf0.01, and generated ones of all kinds of characters."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    enc = tokens.Encoder(path)
+    rng = random.Random(12)
+    ranges = [(9, 14), (32, 127), (32, 127), (128, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xA00), (0x2000, 0x2070), (0x2070, 0x2100), (0x2150, 0x2190), (0x3000, 0x3100), (0x4E00, 0x4E80), (0xAC00, 0xAC40), (0xFE00, 0x10000), (0x1F300, 0x1F700)]
+
+    def char():
+        low, high = rng.choice(ranges)
+        return chr(rng.randrange(low, high))
+
+    made = ["".join(char() if rng.random() < 0.4 else rng.choice([" ", "  ", "a", "the", "'s", "'ll", "1", "23", "\n", "\t", ".", "_", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + made
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    for k in range(0, len(texts), 256):
+        for data, e in zip(enc(texts[k : k + 256]), want[k : k + 256], strict=True):
+            assert np.frombuffer(data, dtype=enc.dtype).tolist() == e.ids
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing(bits, tmp_path):
     rng = np.random.default_rng(bits)
