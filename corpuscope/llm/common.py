@@ -5,6 +5,7 @@ Nothing outside :mod:`corpuscope.llm` imports this module.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -102,6 +103,14 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end, where the C library can: workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- hashing of words and shingles ------------------------------------------------------------
 
 

@@ -37,11 +37,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, discard, mix, normal, shingles, tune, utf8, written
+from .common import BROADCAST_BYTES, discard, give_back, mix, normal, shingles, tune, utf8, written
 
 #: Share of segments beyond the pigeonhole's need: what empty and costly subsets may take.
 SLACK = 0.10
@@ -50,7 +50,7 @@ HOT = 64
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 100_000
 #: Keys that a task deals at once, and shingles to a part of the keys.
-FLUSH_KEYS, PART_SHINGLES = 500_000, 4_000_000
+FLUSH_KEYS, PART_SHINGLES = 300_000, 1_500_000
 #: Entries of one key among the keys dealt at once from which on it is hot.
 HOT_KEYS = 32
 
@@ -296,7 +296,7 @@ def _keyed(percent: int, parts: int):
             for words in map(normal, utf8(batch.column("__text"))):
                 if not words or (node := _node(words)[0]) in seen:
                     continue
-                if len(seen) >= 1 << 20:
+                if len(seen) >= 1 << 18:
                     seen.clear()
                 seen.add(node)
                 for role, keys, kinds, spare in set_keys(shingles(words), percent):
@@ -307,6 +307,8 @@ def _keyed(percent: int, parts: int):
                     found, rows = [], 0
         if found:
             yield _blocks(found, parts)
+        del found, seen
+        give_back()
 
     return run
 
@@ -321,13 +323,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = [tuple(np.concatenate(c) for c in zip(*through, strict=True))] if through else []
     if held:
         key, node, kind, role, spare = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
+        held = []
         order = np.argsort(key, kind="stable")
         start = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1))
         nodes = node[order]
         some = (np.minimum.reduceat(nodes, start) != np.maximum.reduceat(nodes, start)) & (np.maximum.reduceat(kind[order], start) > 0)
         chosen = order[np.repeat(some, np.diff(np.concatenate((start, [len(key)]))))]
         kept.append((key[chosen], node[chosen], kind[chosen], role[chosen], spare[chosen]))
+        del order, start, nodes, some, chosen
+    give_back()
     if not kept:
         return
     key, node, kind, role, spare = (np.concatenate(c) for c in zip(*kept, strict=True))
@@ -374,6 +378,12 @@ def _verified(percent: int):
     return run
 
 
+def _two(*pairs):
+    """Each row as two rows ``x.u, x.v``."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.explode(F.array(*[F.struct(col(u).alias("u"), col(v).alias("v")) for u, v in pairs])).alias("x")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root``: the smallest node of every connected component, for nodes with an edge.
 
@@ -383,17 +393,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     before = None
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Rows are doubled by explode, not by unions: a round's plan reads its table a few times only.
+        both = e.select(_two(("u", "v"), ("v", "u"))).select("x.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
-        small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(small_least, "u")
-        last = e
-        e = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        e = written(e, "cc")
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(_two((F.greatest("v", "m"), F.least("v", "m")), ("u", "m"))).select("x.*").where("u <> v").distinct()
+        seen = Observation()
+        last, e = e, written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "cc")
         discard(last)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = seen.get
         if now == before:
             break
         before = now
@@ -461,10 +471,13 @@ def _star(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each bucket's members with one index entry, another one each turn."""
     pick = F.min_by(F.struct("node", "n", "probe"), F.xxhash64("node", F.lit(turn))).alias("y")
     starred = rows.join(rows.where("entry").groupBy("key").agg(pick), "key").select(F.struct("node", "n", "probe", "entry").alias("z"), "y")
-    # The larger of the two must be a probe, the other an entry; the anchor may be either.
-    as_probe = _fit(starred.where("z.probe").select(F.col("z").alias("p"), F.col("y").alias("x")), percent)
-    as_entry = _fit(starred.where("z.entry and y.probe").select(F.col("y").alias("p"), F.col("z").alias("x")), percent)
-    return as_probe.unionByName(as_entry)
+    # The larger of the two must be a probe, the other an entry; the anchor, an entry, may be either.
+    larger = F.col("y.n") < F.col("z.n")
+    larger = larger | ((F.col("y.n") == F.col("z.n")) & (F.col("y.node") < F.col("z.node")))
+    fits = F.when(larger, F.col("z.probe")).otherwise(F.col("z.entry") & F.col("y.probe"))
+    close = 100 * F.least("y.n", "z.n") >= percent * F.greatest("y.n", "z.n")
+    starred = starred.where((F.col("y.node") != F.col("z.node")) & fits & close)
+    return starred.select(F.when(larger, F.col("z.node")).otherwise(F.col("y.node")).alias("a"), F.when(larger, F.col("y.node")).otherwise(F.col("z.node")).alias("b"))
 
 
 def _rest(rows: DataFrame, percent: int) -> DataFrame:
