@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tune, utf8
+from .common import give_back, tune, utf8
 
 SAMPLE = 8
 #: Bounds of a shard: symbols kept, words read, documents.
@@ -260,6 +260,8 @@ def _scan(items: list[tuple[str, bytes]], window: int, text_col: str, kept: list
                 shard, held = Shard(phrases), []
         if held:
             yield from finish(shard, held)
+        del shard, held
+        give_back()
 
     return run
 

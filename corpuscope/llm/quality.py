@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, tune, utf8, written
+from .common import give_back, mix, tune, utf8, written
 
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
@@ -95,6 +95,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.flatnonzero(toxic + clean)
     bucket = np.concatenate((np.arange(BUCKETS), BUCKETS + held)).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate((raw, toxic[held]))), pa.array(np.concatenate((good, clean[held])))], ["bucket", "n_raw", "n_good"])
+    give_back()
 
 
 def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray, text_col: str):
@@ -110,6 +111,7 @@ def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray, text_
                 counts.append(len(b))
                 toxicity.append(float(toxic[_words(h)].mean()) if len(h) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64()), pa.array(toxicity, pa.float64())], [*batch.schema.names, "__sum", "__grams", "__toxicity"])
+        give_back()
 
     return run
 
