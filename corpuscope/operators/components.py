@@ -54,16 +54,23 @@ def running_total(df: DataFrame, order: list[str | Column], weight: str, name: s
     return parts.withColumn(name, F.sum(weight).over(upto)).join(offsets, "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
+def _two(*pairs: tuple) -> Column:
+    """Each row as two rows ``x.u, x.v``."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.explode(F.array(*[F.struct(col(u).alias("u"), col(v).alias("v")) for u, v in pairs])).alias("x")
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``node, root``: the smallest node reachable by edges ``a, b``; alternating large and small stars."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Rows are doubled by explode, not by unions, so that a round's plan reads its table a few times only.
+        both = e.select(_two(("u", "v"), ("v", "u"))).select("x.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = cut(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.select(_two((F.greatest("v", "m"), F.least("v", "m")), ("u", "m"))).select("x.*").where("u <> v").distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -121,21 +121,23 @@ def document_grams(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, keep_rows: bool = True) -> LanguageModel:
     """The model of all documents, short and foreign ones included."""
     rows = document_grams(docs).persist()
-    totals = rows.groupBy("k", "code").agg(F.sum("own").alias("total"), F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("n_docs"), F.first("past").alias("past"))
+    totals = rows.groupBy("k", "code").agg(F.sum("own").alias("total"), F.sum("ends").alias("ends"), F.count(F.lit(1)).alias("n_docs"), F.first("past").alias("past")).persist()
     types = totals.where("k > 1").groupBy(F.col("past").alias("code")).agg(F.count(F.lit(1)).alias("types"))
     grams = totals.where("k < 3").join(types, "code", "left").unionByName(totals.where("k = 3").withColumn("types", F.lit(None).cast("long")))
-    grams = grams.select("k", "code", "total", "ends", "n_docs", F.coalesce("types", F.lit(0)).alias("types")).persist()
+    grams = grams.select("k", "code", "total", "ends", "n_docs", "past", F.coalesce(F.col("types"), F.lit(0)).alias("types")).persist()
+    bos = codes(["x"])[3].view(np.int64)[0]  # the first word's history
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
     s = grams.agg(
-        F.sum(F.when(F.col("k") == 1, F.col("total"))).alias("n"),
-        F.sum((F.col("k") == 1).cast("long")).alias("v"),
-        F.sum(F.when((F.col("k") == 2) & (F.col("total") > 1), F.col("total"))).alias("hits"),
+        whole(F.when(F.col("k") == 1, F.col("total"))).alias("n"),
+        whole((F.col("k") == 1).cast("long")).alias("v"),
+        whole(F.when((F.col("k") == 2) & (F.col("total") > 1), F.col("total"))).alias("hits"),
         F.count(F.lit(1)).alias("entries"),
+        whole(((F.col("k") == 2) & (F.col("past") == F.lit(int(bos)))).cast("long")).alias("first"),
+        # A document with words has one last word.
+        whole(F.when(F.col("k") == 1, F.col("ends"))).alias("documents"),
     ).first()
-    bos = codes(["x"])[3].view(np.int64)[0]  # the first word's history
-    first = rows.where((F.col("k") == 2) & (F.col("past") == F.lit(int(bos)))).select("code").distinct().count()
-    n = s["n"] or 0
-    docs_with_words = rows.where("k = 1 and ends = 1").count()
-    return LanguageModel(grams, docs_with_words, n, s["v"] or 0, s["entries"], (s["hits"] or 0) / n if n else 0.0, first, rows if keep_rows else None)
+    totals.unpersist()
+    return LanguageModel(grams, s["documents"], s["n"], s["v"], s["entries"], s["hits"] / s["n"] if s["n"] else 0.0, s["first"], rows if keep_rows else None)
 
 
 def _score(model: dict, loo: bool, common: list[np.ndarray]):
