@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker: whole texts can be long.
 ARROW_ROWS = 256
@@ -56,6 +57,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(columns: list[str], *but: str) -> Column:
+    """A struct of the columns but those that stand beside it, so that their names meet no others."""
+    return F.struct(F.lit(True).alias("_"), *[c for c in columns if c not in but])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again (survives lost executors)."""
     spark = df.sparkSession

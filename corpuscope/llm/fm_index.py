@@ -16,7 +16,7 @@ shuffle.
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. Defined cases: a null
 or wordless text has no words and no hits; a null or wordless item has no phrases; equal items each
 count; repeated rows give repeated results; an empty table gives an empty result; other columns are
-kept or ignored as the caller says.
+kept or ignored as the caller says, but for those of the added ones' names, which are replaced.
 """
 
 from __future__ import annotations

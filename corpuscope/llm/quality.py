@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, mix, tune, utf8, written
+from .common import give_back, mix, packed, tune, utf8, written
 
 BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
@@ -98,13 +98,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray, text_col: str):
+def _scored(ratio: np.ndarray, words: np.ndarray, word_ratios: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = np.zeros(WORDS)
         toxic[words] = word_ratios
         for batch in batches:
             sums, counts, toxicity = [], [], []
-            for text in utf8(batch.column(text_col)):
+            for text in utf8(batch.column("__text")):
                 h = _hashes(text)
                 b = _buckets(h)
                 sums.append(float(ratio[b].sum()))
@@ -166,7 +166,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     """Every row with ``__grams, __log_weight, __toxicity, __noise, __selected``."""
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.drop(*_ADDED)
+    # The input's columns are packed, so that their names meet no others.
+    columns = [c for c in docs.columns if c not in _ADDED]
+    docs = docs.select(packed(columns, text_col).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     known = _labels(labels, max_labelled, seed, id_col)
     fit = (F.col("q") > 0) & (F.col("t") == 0) & (F.col("half") == 0)
     fit_toxic, held_toxic = F.when(F.col("half") == 0, F.col("t") > 0), F.when(F.col("half") == 1, F.col("t") > 0)
@@ -174,9 +176,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     held_good = F.when((F.col("half") == 1) & ((F.col("q") <= 0) | (F.col("t") == 0)), F.col("q") > 0)
     told = [tuple(r) for r in known.select("__label_id", fit, fit_toxic, held_toxic, held_good).collect()]
     rows = spark.createDataFrame(told, "__label_id long, __fit boolean, __fit_toxic boolean, __held_toxic boolean, __held_good boolean")
-    labelled = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__label_id"), "left").drop("__label_id")
+    labelled = docs.join(F.broadcast(rows), F.col("__id") == F.col("__label_id"), "left").drop("__label_id")
 
-    counts = labelled.select(F.col(text_col).alias("__text"), "__fit", "__fit_toxic").mapInArrow(_counted, "bucket int, n_raw long, n_good long")
+    counts = labelled.select("__text", "__fit", "__fit_toxic").mapInArrow(_counted, "bucket int, n_raw long, n_good long")
     totals = counts.groupBy("bucket").agg(F.sum("n_raw").alias("r"), F.sum("n_good").alias("g")).where(f"bucket < {BUCKETS} or r >= {TOXIC_TEXTS}").collect()
     n_toxic, n_clean = (sum(r[2] is kind for r in told) for kind in (True, False))
     word_ratios = {r["bucket"] - BUCKETS: math.log((r["r"] + 0.5) / (n_toxic + 1)) - math.log((r["g"] + 0.5) / (n_clean + 1)) for r in totals if r["bucket"] >= BUCKETS}
@@ -191,11 +193,11 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     ratio = np.log((n_fit * good / good.sum() + PRIOR_TEXTS * raw) / (n_fit + PRIOR_TEXTS)) - np.log(raw) if good.any() else np.zeros(BUCKETS)
 
     schema = T.StructType([*labelled.schema.fields, T.StructField("__sum", T.DoubleType()), T.StructField("__grams", T.LongType()), T.StructField("__toxicity", T.DoubleType())])
-    scored = labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values())), text_col), schema)
+    scored = labelled.mapInArrow(_scored(ratio, np.array(list(word_ratios), dtype=np.int64), np.array(list(word_ratios.values()))), schema)
     # Uniform in (0, 1) from 52 bits of a hash of id and text.
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 12) + 0.5) / float(1 << 52)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__id"), F.col("__text")), 12) + 0.5) / float(1 << 52)
     scored = scored.withColumns({"__log_weight": F.when(F.col("__grams") > 0, F.col("__sum")).otherwise(0.0), "__noise": -F.log(-F.log(uniform)), "__place": F.monotonically_increasing_id()})
-    scored = written(scored.drop("__sum", "__fit", "__fit_toxic"), "importance")
+    scored = written(scored.drop("__sum", "__fit", "__fit_toxic", "__id"), "importance")
     held = scored.where("__held_toxic is not null and __grams > 0").select("__held_toxic", "__held_good", "__toxicity", "__log_weight").dropDuplicates().limit(4 * max_labelled).collect()
 
     def parted(rows: list[tuple[bool, float]], otherwise: float) -> float:
@@ -218,7 +220,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
         ties = keys.where(F.col("__key") == F.lit(least)).select((-F.col("__place")).cast("double").alias("__key"))
         last = _kth(ties, ties.count() - over)
         drawn = drawn & ((key > F.lit(least)) | (-F.col("__place") >= F.lit(last)))
-    return scored.withColumn("__selected", fits & drawn).select(*docs.columns, *_ADDED)
+    return scored.withColumn("__selected", fits & drawn).select(*[(F.col("__text") if c == text_col else F.col("__row")[c]).alias(c) for c in columns], *_ADDED)
 
 
 def held_out_report(drawn: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:

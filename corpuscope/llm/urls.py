@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES
+from .common import BROADCAST_BYTES, packed
 
 #: Keys a block of 256 bits takes on average: 16 bits a key.
 KEYS_A_BLOCK = 16
@@ -153,10 +153,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col:
     best = F.max(F.struct(F.col("__v").startswith("rule:").alias("r"), "__hl", "__pl", F.col("__v").alias("v"), F.col("__key").alias("k"))).alias("__best")
     verdicts = hits.groupBy("__url").agg(best).select("__url", F.when(F.col("__best.r"), F.col("__best.k")).alias("__entry"), F.substr(F.col("__best.v"), F.lit(6)).alias("__verdict"))
     # URLs without a host meet nothing, so that they need no place in the join.
-    rows = pages.drop("__entry", "__verdict").withColumns({"__host": F.coalesce(host_of(F.col(url_col)), F.lit("")), "__path": F.coalesce(path_of(F.col(url_col)), F.lit("")), "__url": F.col(url_col)})
+    columns = [c for c in pages.columns if c not in ("__host", "__path", "__entry", "__verdict")]
+    url = F.col(url_col)
+    rows = pages.select(packed(columns, url_col).alias("row"), url.alias("__url"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"))
     met = rows.where("__host <> ''").join(verdicts, "__url", "left").withColumn("__verdict", F.coalesce("__verdict", F.lit("allow")))
     none = {"__entry": F.lit(None).cast("string"), "__verdict": F.lit("allow")}
-    return met.drop("__url").unionByName(rows.where("__host = ''").withColumns(none).drop("__url"))
+    out = met.unionByName(rows.where("__host = ''").withColumns(none))
+    return out.select(*[(F.col("__url") if c == url_col else F.col("row")[c]).alias(c) for c in columns], "__host", "__path", "__entry", "__verdict")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,15 +93,15 @@ def test_url_filter(spark):
     rng = random.Random(5)
     part = lambda: rng.choice(["www", "a", "b", "example", "spam-farm", "bad", "x", ""])
     urls_ = [".".join(part() for _ in range(rng.randint(1, 4))) + "." + rng.choice(["com", "net", "org", "COM", "example.org"]) + rng.choice(["", "/", "/en/", "/en/x", "/es/", "/fr", "/cracked/y", "?q=/en/", "#/"]) for _ in range(2000)]
-    rows = [(i, rng.choice(["http://", "https://", "://", ""]) + u, "taken", "taken") for i, u in enumerate(urls_)]
+    rows = [(i, rng.choice(["http://", "https://", "://", ""]) + u, "taken", "kept") for i, u in enumerate(urls_)]
     rows += [(9000, None, "h", "e"), (9001, "http://", "h", "e"), (9002, "http://" + "a." * 30000 + "com/", "h", "e"), (9003, "HTTP://WWW.Example.com/en/x?q#f", "h", "e"), (9003, "HTTP://WWW.Example.com/en/x?q#f", "h", "e")]
-    pages = spark.createDataFrame(rows, "page_id long, u string, host string, __entry string")
+    pages = spark.createDataFrame(rows, "page_id long, u string, __entry string, __url string")
     listed = spark.createDataFrame([("http://bad.com/",), ("http://Spam-Farm.example.org",), ("https://x.org/en/?q",), (None,)], "url string")
     out = urls.filter_urls(pages, urls.contract_rules(spark), listed, "u")
-    assert out.columns == ["page_id", "u", "host", "__host", "__path", "__entry", "__verdict"]
+    assert out.columns == ["page_id", "u", "__url", "__host", "__path", "__entry", "__verdict"]
     blocked = [("bad.com", "/", "block"), ("spam-farm.example.org", "/", "block"), ("x.org", "/en/", "block")]
     got = out.collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and {r["__url"] for r in got} == {"kept", "e"}
     for r in got:
         rest = (r["u"] or "").split("://", 1)[1] if "://" in (r["u"] or "") else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -676,6 +676,52 @@ def test_token_files(spark, edge, empty, monkeypatch):
     assert tokens.read_ids(folder, index).count() == 0
 
 
+def test_names_of_other_columns_do_no_harm(spark):
+    names = ["doc", "content", "row", "text_a", "__doc", "__id", "__raw", "__fit", "__text", "__row", "__label_id", "bodies", "__url", "node", "part"]
+    docs = spark.createDataFrame([(i, f"line {i}\nshared words of all the documents here", *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "shared words of all")], "item_id long, text string")
+    outs = [line_dedup.drop_templates(docs), quality.importance_sample(docs, labels), ngram_join.one_of_each_class(docs), fm_index.contamination(docs, bench, cut=True), urls.filter_urls(docs, urls.contract_rules(spark), urls.default_list(spark), "text")]
+    for out in outs:
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    counts = [sharding.assign_shards(docs, 2), ngram_join.similar_classes(docs), packing.pack_documents(docs, tokens.default_tokenizer()), ogg.decode_media(ogg.encode_media(docs))]
+    assert all(out.count() == 6 for out in counts)
+
+
+def test_pipeline_stages_equal_plain_ones(spark):
+    """Line dedup, packing and the whole run, over sf0.001."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    plain = {i: t for i, (t, _, dropped) in plain_templates(rows).items() if not dropped or t.strip()}
+    assert {r["doc_id"]: r["text"] for r in P.line_dedup(spark, docs, sf).collect()} == plain
+    cut = P.line_dedup(spark, docs, sf).where("n_chars <> length(text)").count()
+    assert cut == docs.where("n_chars <> length(text)").count()
+    chain = docs
+    for name, stage in P.STAGES[:-1]:
+        chain = stage(spark, chain, sf)
+        assert chain.columns == docs.columns
+        chain = spark.createDataFrame(chain.collect(), docs.schema)
+    encoder = Tokenizer.from_file(tokens.default_tokenizer())
+    want = {}
+    for r in chain.collect():
+        ids = [*encoder.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        at, n = 0, len(ids)
+        for piece in range(-(-n // 1024)):
+            length = (n % 1024 or 1024) if piece == 0 else 1024
+            want[r["doc_id"], piece] = (at, length, zlib.crc32(np.array(ids[at : at + length], dtype="<u4").tobytes()))
+            at += length
+    got = P.run(spark, sf).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    # A text of blanks that a cut leaves goes; one that was so stays as it is.
+    some = spark.createDataFrame([(i, "the same long line of words stands here\n", "en", "s", 40) for i in range(4)] + [(9, "\n", "en", "s", 1)], docs.schema)
+    assert sorted(r["doc_id"] for r in P.line_dedup(spark, some, sf).collect()) == [0, 9]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
