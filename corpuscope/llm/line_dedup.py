@@ -8,7 +8,11 @@ so with one block more than that they agree on a block as a whole. A line goes t
 which most documents share (then to the first of them). Of a group so found, the positions where one
 token alone holds at least half of the documents are fixed, the others variable; if at least ``similarity``
 of the positions are fixed, they are a template, and the lines that agree with it are its own. Lines
-left over are grouped again, :data:`ROUNDS` times in all, without the blocks that gave no template.
+left over are grouped again, :data:`ROUNDS` times in all, without the blocks that gave no template. After
+that, every block that several lines still share is a group of all its lines, and a line goes to that of
+the templates it agrees with which most documents share (then to the first block's); this is repeated with
+the lines left over, without the blocks that gave no template, until no block is left. :data:`OP9_SQL`
+states the first :data:`ROUNDS` groupings only; the tests hold the rest to a tree in memory.
 
 A template that recurs in ``min_docs`` documents or more, or in two if its lines have ``long_tokens``
 tokens, is dropped, but for its occurrences in the document with the smallest id; so is a line that
@@ -17,7 +21,8 @@ recurs as it is. Blank lines and lines of fewer than ``min_tokens`` tokens stay.
 What is shuffled are hashes: a row per distinct line of a document, combined on the map side into a
 count and a smallest id per line, so that a line in a third of all documents is one row a task.
 Tokens are compared only for leaves that hold several different lines and enough documents; each
-such line gives a row per block and, in a round, a row per token, never a row per pair.
+such line gives a row per block and, in a round, a row per token, never a row per pair. After the rounds it
+gives a row per token for each block left, blocks shared by the same lines being one.
 
 Defined cases: a null text stays null and has no lines; an empty text is one blank line; repeated
 rows (equal id and text) are one document; a null id is a document of its own class for each text, which
@@ -27,13 +32,15 @@ an empty result; other columns are kept, but for ``__n_lines`` and ``__n_dropped
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, discard, packed, written
 
 LEADING = 3
-#: Times that the lines of a leaf which have no template yet are grouped.
+#: Times that the lines of a leaf which have no template yet are grouped by their best blocks.
 ROUNDS = 3
 
 
@@ -71,34 +78,60 @@ def _blocks(told: DataFrame, percent: int) -> DataFrame:
     return rows.select("body", "n", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda j: F.xxhash64("leaf", j, block(j)))).alias("j", "key"))
 
 
+def _own(grouped: DataFrame, percent: int) -> DataFrame:
+    """``leaf, body, key, docs, j`` of the lines that agree with the template of their group."""
+    # Tokens go as hashes, and a group's documents with them, so that token rows are shuffled once.
+    tokens = grouped.select("key", "docs", "n", F.posexplode(F.split("line", " ")).alias("pos", "token")).withColumn("token", F.xxhash64("token"))
+    common = tokens.groupBy("key", "docs", "pos", "token").agg(F.sum("n").alias("n")).where("2 * n >= docs")
+    # Two tokens may hold half each: the position is then variable.
+    fixed = common.groupBy("key", "pos").agg(F.count(F.lit(1)).alias("c"), F.min("token").alias("token")).where("c = 1")
+    pattern = fixed.groupBy("key").agg(F.collect_list(F.struct("pos", "token")).alias("pattern"))
+    agrees = F.forall("pattern", lambda p: F.xxhash64(F.get(F.col("parts"), p["pos"])) == p["token"])
+    enough = F.size("pattern") * 100 >= F.size("parts") * percent
+    return grouped.withColumn("parts", F.split("line", " ")).join(pattern, "key").where(enough).where(agrees).select("leaf", "body", "key", "docs", "j")
+
+
 def _templates(told: DataFrame, percent: int) -> DataFrame:
     """``leaf, body, template`` of the lines that have a template."""
     keys = written(_blocks(told, percent), "blocks")
     spare = [keys]
     found = None
+    lines = told.select("leaf", "body", "line")
     for turn in range(ROUNDS):
         shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("docs")).where("lines > 1")
-        best = keys.join(shared, "key").groupBy("body").agg(F.max(F.struct("docs", (-F.col("j")).alias("first"), "key")).alias("best"))
-        grouped = written(told.join(best.select("body", F.col("best.key").alias("key")), "body"), "grouped")
-        totals = grouped.groupBy("key").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-        tokens = grouped.select("key", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-        common = tokens.groupBy("key", "pos", "token").agg(F.sum("n").alias("n")).join(totals, "key").where("2 * n >= docs")
-        # Two tokens may hold half each: the position is then variable.
-        fixed = common.groupBy("key", "pos").agg(F.count(F.lit(1)).alias("c"), F.min("token").alias("token")).where("c = 1")
-        pattern = fixed.groupBy("key").agg(F.collect_list(F.struct("pos", "token")).alias("pattern"))
-        agrees = F.forall("pattern", lambda p: F.get(F.col("parts"), p["pos"]) == p["token"])
-        enough = F.size("pattern") * 100 >= F.size("parts") * percent
-        own = grouped.withColumn("parts", F.split("line", " ")).join(pattern, "key").where(agrees & enough)
-        own = written(own.select("leaf", "body", "key", F.xxhash64("key", F.lit(turn)).alias("template")), "own")
+        best = keys.join(shared, "key").groupBy("body").agg(F.first("n").alias("n"), F.max(F.struct("docs", (-F.col("j")).alias("first"), "key")).alias("best"))
+        best = written(best.select("body", "n", F.col("best.key").alias("key"), (-F.col("best.first")).alias("j")), "best")
+        totals = best.groupBy("key").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
+        grouped = written(lines.join(best.join(totals, "key"), "body"), "grouped")
+        own = written(_own(grouped, percent).withColumn("template", F.xxhash64("key", F.lit(turn))), "own")
         found = own if found is None else found.unionByName(own)
-        spare += [grouped, own]
-        if turn + 1 < ROUNDS:
-            barren = grouped.select("key").distinct().join(own.select("key").distinct(), "key", "left_anti")
-            keys = written(keys.join(own.select("body"), "body", "left_anti").join(barren, "key", "left_anti"), "blocks")
-            spare.append(keys)
-            if keys.isEmpty():
-                break
-    members = written(found.drop("key"), "members")
+        spare += [best, grouped, own]
+        barren = best.select("key").distinct().join(own.select("key").distinct(), "key", "left_anti")
+        keys = written(keys.join(own.select("body"), "body", "left_anti").join(barren, "key", "left_anti"), "blocks")
+        spare.append(keys)
+        if keys.isEmpty():
+            break
+    # What is left: all blocks at once, those of equal lines as one, until none is left.
+    same = ["lines", "docs", "a", "b"]
+    for turn in itertools.count(ROUNDS):
+        marks = [F.bit_xor(F.xxhash64("body", F.lit(i))).alias(name) for i, name in enumerate("ab")]
+        sets = written(keys.groupBy("key", "j").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("docs"), *marks).where("lines > 1"), "sets")
+        spare.append(sets)
+        if sets.isEmpty():
+            break
+        ones = sets.groupBy(*same).agg(F.min(F.struct("j", "key")).alias("one"))
+        grouped = written(lines.join(keys.join(ones.select(F.col("one.key").alias("key"), "docs"), "key"), "body"), "grouped")
+        tried = written(_own(grouped, percent), "tried")
+        best = tried.groupBy("leaf", "body").agg(F.max(F.struct("docs", (-F.col("j")).alias("first"), "key")).alias("best"))
+        own = written(best.select("leaf", "body", F.col("best.key").alias("key"), F.xxhash64("best.key", F.lit(turn)).alias("template")), "own")
+        found = found.select(*own.columns).unionByName(own)
+        spare += [grouped, tried, own]
+        if own.isEmpty():
+            break
+        fertile = sets.join(ones, same).join(tried.select(F.col("key").alias("of")).distinct(), F.col("one.key") == F.col("of")).select(sets["key"])
+        keys = written(keys.join(own.select("body"), "body", "left_anti").join(fertile, "key", "left_semi"), "blocks")
+        spare.append(keys)
+    members = written(found.select("leaf", "body", "template"), "members")
     discard(*spare)
     return members
 

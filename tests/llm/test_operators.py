@@ -607,6 +607,82 @@ def test_line_dedup_equals_a_tree_in_memory(spark, seed):
     assert got == plain_templates(docs)
 
 
+def plain_groups(lines, percent=70):
+    """Lines of one leaf and their documents: template by line, from the rounds and from what they leave."""
+    tok = {x: x.split(" ") for x in lines}
+    n = len(next(iter(tok.values())))
+    differ = n - (n * percent + 99) // 100
+    count = 0 if differ >= n - 3 else differ + 1
+    keys = {(x, j): (j, tuple(t[3 + j * (n - 3) // count : 3 + (j + 1) * (n - 3) // count]) if count else ()) for x, t in tok.items() for j in range(max(count, 1))}
+    template = {}
+
+    def shared():
+        by = defaultdict(list)
+        for (x, _), key in keys.items():
+            by[key].append(x)
+        return {key: (sum(lines[x] for x in held), held) for key, held in by.items() if len(held) > 1}
+
+    def own(held):
+        fixed = {}
+        for p in range(n):
+            c = defaultdict(int)
+            for x in held:
+                c[tok[x][p]] += lines[x]
+            top = [w for w, k in c.items() if 2 * k >= sum(c.values())]
+            if len(top) == 1:
+                fixed[p] = top[0]
+        enough = len(held) > 1 and 100 * len(fixed) >= percent * n
+        return [x for x in held if enough and all(tok[x][p] == w for p, w in fixed.items())]
+
+    turn = 0
+    while groups := shared():
+        options = defaultdict(list)
+        for key, (docs, held) in groups.items():
+            for x in held if turn < line_dedup.ROUNDS else own(held):
+                options[x].append((docs, -key[0], key))
+        chosen = defaultdict(list)
+        for x, found in options.items():
+            chosen[max(found)[2]].append(x)
+        if turn < line_dedup.ROUNDS:
+            hits = {key: own(held) for key, held in chosen.items()}
+            barren = {key for key, hit in hits.items() if not hit}
+        else:
+            hits = chosen
+            barren = {key for key, (_, held) in groups.items() if not own(held)}
+        taken = {x: (turn, key) for key, hit in hits.items() for x in hit}
+        template |= taken
+        keys = {k: key for k, key in keys.items() if k[0] not in taken and key not in barren}
+        turn += 1
+    return template, turn
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_groups_all_that_the_rounds_leave(spark, seed):
+    rng = random.Random(seed)
+    lines = {}
+    for _ in range(40):
+        base = [rng.choice("pqrs") for _ in range(37)]
+        for _ in range(rng.randint(1, 5)):
+            x = [rng.choice("xyzuvw") if rng.random() < 0.15 else w for w in base]
+            # Blocks of other lines: lines share them without being akin.
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(34)
+                x[at : at + 3] = list("tmn")
+            lines[" ".join(["a", "b", "c", *x])] = rng.randint(1, 3)
+    expected, turns = plain_groups(lines)
+    assert turns > line_dedup.ROUNDS and any(turn >= line_dedup.ROUNDS for turn, _ in expected.values())
+    told = spark.createDataFrame([(7, i, k, x) for i, (x, k) in enumerate(lines.items())], "leaf long, body long, n long, line string")
+    got = {r["body"]: r["template"] for r in line_dedup._templates(told, 70).collect()}
+    families = defaultdict(set)
+    for body, template in got.items():
+        families[template].add(body)
+    plain = defaultdict(set)
+    for i, x in enumerate(lines):
+        if x in expected:
+            plain[expected[x]].add(i)
+    assert sorted(map(sorted, families.values())) == sorted(map(sorted, plain.values()))
+
+
 def test_long_lines_recur_in_two_documents(spark):
     long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
     docs = spark.createDataFrame([(1, long), (2, f"own\n{long}"), (3, "a short line twice"), (4, "a short line twice"), (5, f"{long[:-3]}end")], "doc_id long, text string")
