@@ -3,7 +3,7 @@
 :class:`Encoder` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``. Byte-level
 BPE never merges across its pre-tokens, so the ids of a pre-token are kept once the library has
 encoded it; new pre-tokens of a batch are encoded together in one call and told apart by the
-library's word ids. Texts with characters on which Unicode versions of pre-tokenizers may differ, or
+spaces that their first tokens begin with. Texts with characters on which Unicode versions of pre-tokenizers may differ, or
 with the string of an added token, go to the library as they are.
 
 File format (``.ids``): ``magic "CSIDS1\\0\\0" | u32 bits | u32 block ids | u64 ids | u64 blocks |
@@ -65,42 +65,59 @@ class Encoder:
         self.added = re.compile("|".join(added)) if added else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
+        # The tokens that begin with a space, and those that are a line feed, in byte-level letters.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced, self.feeds = np.zeros((2, max(vocabulary.values()) + 1), dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.feeds[[i for t, i in vocabulary.items() if t == "\u010a"]] = True
         self.kept: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        pieces: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, list, list[int], list[str]]] = []
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        get = self.kept.get
+        new: set[str] = set()
         for i, text in enumerate(texts):
             if _ODD.search(text) or (self.added and self.added.search(text)):
                 out[i] = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            words = _SPLIT.findall(text)
+            ids = list(map(get, words))
+            if None in ids:
+                holes = [k for k, x in enumerate(ids) if x is None]
+                missing = [words[k] for k in holes]
+                new.update(missing)
+                waiting.append((i, ids, holes, missing))
             else:
-                pieces.append((i, _SPLIT.findall(text)))
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = [w for w in set(itertools.chain.from_iterable(p for _, p in pieces)).difference(self.kept)]
+                out[i] = b"".join(ids)
         # Words after a space keep their bounds when joined; the rest is encoded one by one.
         joined = [w for w in new if len(w) > 1 and w[0] == " " and w[1] != " "]
         for k in range(0, len(joined), 2000):
-            self._learn(joined[k : k + 2000])
+            self._learn("".join(joined[k : k + 2000]), joined[k : k + 2000], self.spaced, 0)
+        # So do words of letters when parted by line feeds, which are no part of them.
+        letters = [w for w in new if w.isalpha()]
+        for k in range(0, len(letters), 2000):
+            self._learn("\n" + "\n".join(letters[k : k + 2000]), letters[k : k + 2000], self.feeds, 1)
         alone = [w for w in new if w not in self.kept]
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.kept[w] = self._bytes(e.ids)
-        get = self.kept.__getitem__
-        for i, words in pieces:
-            out[i] = b"".join(map(get, words))
+        for i, ids, holes, missing in waiting:
+            for k, w in zip(holes, missing, strict=True):
+                ids[k] = self.kept[w]
+            out[i] = b"".join(ids)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        e = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        which = np.array(e.word_ids, dtype=np.int64)
-        if len(which) and which[-1] == len(words) - 1:
-            ids = np.array(e.ids, dtype=self.dtype)
-            ends = np.searchsorted(which, np.arange(len(words)), side="right")
+    def _learn(self, text: str, words: list[str], first: np.ndarray, skip: int) -> None:
+        """Keep the words' ids: each word's begin at a token of ``first``, after ``skip`` tokens."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        starts = np.flatnonzero(first[ids])
+        if len(starts) == len(words) and starts[0] == 0:
             data, width = ids.tobytes(), self.dtype.itemsize
-            start = 0
-            for w, end in zip(words, ends.tolist(), strict=True):
-                self.kept[w] = data[start * width : end * width]
-                start = end
+            at = (starts * width).tolist()
+            begins = [x + skip * width for x in at] if skip else at
+            self.kept.update(zip(words, map(data.__getitem__, map(slice, begins, [*at[1:], len(data)])), strict=True))
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()

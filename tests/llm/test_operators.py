@@ -692,6 +692,27 @@ def test_long_lines_recur_in_two_documents(spark):
     assert line_dedup.drop_templates(docs.where("doc_id in (1, 5)")).where("__n_dropped = 1").count() == 1
 
 
+def test_new_words_are_encoded_together():
+    path = tokens.default_tokenizer()
+    enc = tokens.Encoder(path)
+    plain, calls = enc.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(list(texts))
+            return plain.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return plain.encode(text, **options)
+
+    enc.tokenizer = Counted()
+    texts = ["Alpha\nBeta\nzweiundvierzig Wörter", "(Gamma) Слово\nслово", "漢字\nかな x"]
+    for _ in range(2):
+        assert enc(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype=enc.dtype).tobytes() for t in texts]
+    # Words of letters in one call, those after a space in another; the rest one by one.
+    assert sorted(len(c) for c in calls if c) == [1, 1, 3] and sorted(max(calls, key=len)) == ["\n", "(", ")"]
+
+
 def test_ids_equal_the_plain_call():
     from tokenizers import Tokenizer
 
