@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Side tables are broadcast only below this many bytes; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows and bytes of one Arrow batch handed to a Python worker: texts can be long.
+ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,13 +38,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where the source has fewer partitions (a single small file); else as it is."""
+    """Over all cores, where the source has fewer partitions (a single small file); else as it is.
+
+    Arrow batches are bounded from here on, so that a Python worker's memory does not follow the rows or
+    the length of the texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
 
+def texts_of(batch: pa.RecordBatch, beside: str) -> Iterator[tuple]:
+    """The column ``beside`` and the text ("" for null) of each row; few texts at a time are Python's."""
+    at, text = batch.schema.get_field_index(beside), batch.schema.get_field_index("text")
+    for low in range(0, batch.num_rows, 128):
+        for x, t in zip(batch.column(at).slice(low, 128).to_pylist(), batch.column(text).slice(low, 128).to_pylist(), strict=True):
+            yield x, t or ""
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def running_total(df: DataFrame, order: list[str | Column], weight: str, name: str) -> DataFrame:
     """``df`` with the total of ``weight`` up to and with each row in the order, as ``name``.
 

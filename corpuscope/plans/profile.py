@@ -62,7 +62,7 @@ def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: Da
     self_mode = own or of_model
     if "surprisal" in families:
         texts = seen.select(F.col("__row").alias("doc_id"), "text")
-        model = model or lm.fit(lm.by_row(reference)[0] if reference is not None else texts)
+        model = model or (lm.fit(lm.by_row(reference)[0], keep_rows=False, keep_totals=True) if reference is not None else lm.fit(texts))
         able = seen.where("analysable").select(F.col("__row").alias("doc_id"))
         bits = lm.surprisal_signals(texts, model, self_mode, able).withColumnRenamed("doc_id", "__row")
         out = out.join(bits, "__row", "left")

@@ -249,7 +249,7 @@ SELECT w.doc_id, o.mean_surprisal, (SELECT round(sum(m) FILTER (WHERE c2 > 0) /
 def reference_mode(spark, sf_dir):
     """All documents against a model of all turns of the conversations."""
     docs, names = lm.by_row(_docs(spark, sf_dir))
-    model = lm.fit(lm.by_row(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.col("conv_id")))[0])
+    model = lm.fit(lm.by_row(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("doc_id", F.col("conv_id")))[0], keep_rows=False, keep_totals=True)
     out = lm.named(lm.surprisal_signals(docs, model, False), names)
     return _rounded(out, ["mean_surprisal"]).withColumn("audited_coverage", F.lit(round(lm.audited_coverage(docs, model), 6)))
 
