@@ -51,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def texts_of(batch: pa.RecordBatch, beside: str) -> Iterator[tuple]:
+def texts_of(batch: pa.RecordBatch, beside: str = "text") -> Iterator[tuple]:
     """The column ``beside`` and the text ("" for null) of each row; few texts at a time are Python's."""
     at, text = batch.schema.get_field_index(beside), batch.schema.get_field_index("text")
     for low in range(0, batch.num_rows, 128):
