@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, cut, running_total, spread
+from .components import components, cut, give_back, running_total, spread, texts_of
 from .signals import words_of
 
 SHINGLE, BINS, BANDS, MIN_SHINGLES = 5, 64, 16, 10
@@ -59,8 +59,9 @@ def signature(words: list[str]) -> np.ndarray | None:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sigs = [signature(words_of(t or "")) for t in batch.column("text").to_pylist()]
+        sigs = [signature(words_of(t)) for _, t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([None if s is None else s.tolist() for s in sigs], pa.list_(pa.int64()))], ["row", "doc_id", "sig"])
+        give_back()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
