@@ -11,7 +11,7 @@ from ..constants import FAMILIES, MIN_COVERAGE_SENTENCES, MIN_COVERAGE_SPREAD, M
 from ..functions import language, text as T
 from ..operators import language_model as lm
 from ..operators.components import cut, spread
-from ..operators.signals import with_artifacts, with_text_signals
+from ..operators.signals import with_text_signals
 from ..registry import catalog, contextual, registered
 
 
@@ -47,11 +47,8 @@ def profile(docs: DataFrame, families: tuple[str, ...] = FAMILIES, reference: Da
     (:func:`corpuscope.operators.language_model.by_row`), so that each is scored without itself. The result, without texts, is cut in the shared folder.
     """
     docs = spread(docs.withColumn("__row", F.monotonically_increasing_id()))
-    seen = _viewed(docs, guard)
-    if "artifact" in families:
-        seen = with_artifacts(seen, F.col("analysable"), F.col("__w"))
-    seen = seen.drop("__w")
-    if {"distributional", "reasoning"} & set(families):
+    seen = _viewed(docs, guard).drop("__w")
+    if {"distributional", "reasoning", "artifact"} & set(families):
         seen = with_text_signals(seen, families, "analysable")
     for name, (family, build) in registered().items():
         if family in families:

@@ -161,7 +161,8 @@ def _hits(patterns) -> str:
 @query(_W + f""" SELECT doc_id, round(({_hits(C.ASSISTANT_ECHO)}) * 1000.0 / len(ws), 5) AS assistant_echo_rate, round(({_hits(C.HEDGING)}) * 1000.0 / len(ws), 5) AS hedging_rate,
 round(len(list_filter(ws, lambda x: x IN {_in(C.LEXICON)})) * 1000.0 / len(ws), 5) AS llm_lexicon_rate FROM w WHERE len(ws) > 0""")
 def artifact_rates(spark, sf_dir):
-    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))).where("assistant_echo_rate is not null"), ["assistant_echo_rate", "hedging_rate", "llm_lexicon_rate"])
+    names = ("assistant_echo_rate", "hedging_rate", "llm_lexicon_rate")
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir)), names).where("assistant_echo_rate is not null"), names)
 
 
 _HABITS = _SENT_SQL.replace(_SENT_SQL[_SENT_SQL.index("SELECT doc_id, CAST(len("):], "") + """, g AS (SELECT doc_id, list_filter(range(1, len(ps) + 1), lambda i: i = 1 OR NOT open[i - 1]) AS starts, ps FROM f),
@@ -175,13 +176,13 @@ round(CASE WHEN len(ws) > 0 AND len(ls) >= 5 THEN len(list_filter(ls, lambda x:
 @query(_HABITS)
 def artifact_habits(spark, sf_dir):
     """A5, A6."""
-    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["transition_rate", "bold_lead_rate"])
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir)), ("transition_rate", "bold_lead_rate")), ["transition_rate", "bold_lead_rate"])
 
 
 @query()
 def human_noise(spark, sf_dir):
     """A4: its pattern looks behind, which the other SQL cannot; held to examples in the tests."""
-    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir))), ["human_noise_rate"])
+    return _rounded(signals.artifact_signals(spread(_docs(spark, sf_dir)), ("human_noise_rate",)), ["human_noise_rate"])
 
 
 _LM = _W + """, s AS (SELECT doc_id, ['<s>', '<s>'] || ws AS q FROM w WHERE len(ws) > 0),
